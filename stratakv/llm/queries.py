@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _AT = {
+    "op3_combined_automaton": "secret_scan",
     "op9_sum_of_squares_packing": "packing",
 }
 
