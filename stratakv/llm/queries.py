@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _AT = {
     "op3_combined_automaton": "secret_scan",
+    "op6_factorization_machine": "toxicity",
     "op9_sum_of_squares_packing": "packing",
 }
 
