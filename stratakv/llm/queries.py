@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _AT = {
+    "op2_offset_preserving": "pii",
     "op3_combined_automaton": "secret_scan",
     "op6_factorization_machine": "toxicity",
     "op9_sum_of_squares_packing": "packing",
