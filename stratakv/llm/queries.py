@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _AT = {
     "op2_offset_preserving": "pii",
     "op3_combined_automaton": "secret_scan",
+    "op4_spaced_seeds": "decontamination",
     "op6_factorization_machine": "toxicity",
     "op9_sum_of_squares_packing": "packing",
 }
