@@ -153,16 +153,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)
     n, out = held_out
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), n) != out))
     sample = usable.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(rows).select("text", F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.col("doc_id").cast("string").alias("id"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, r = _terms(part.column(0))
                 bounds = np.searchsorted(r, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), part.column(1)], ["terms", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), part.column(1), part.column(2)], ["terms", "toxic", "id"])
 
-    got = texts.mapInArrow(features, "terms binary, toxic int").collect()
+    # Rows that repeat an id count once, so the driver gets no more rows than the sample has.
+    got = texts.mapInArrow(features, "terms binary, toxic int, id string").groupBy("id", "toxic").agg(F.min("terms").alias("terms")).collect()
     got.sort(key=lambda x: (bytes(x.terms), x.toxic))
     return fit([np.frombuffer(x.terms, np.uint64) for x in got], np.array([x.toxic for x in got], float))
 
