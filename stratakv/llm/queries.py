@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _AT = {
+    "op1_decision_list": "quality",
     "op2_offset_preserving": "pii",
     "op3_combined_automaton": "secret_scan",
     "op4_spaced_seeds": "decontamination",
