@@ -15,6 +15,7 @@ _AT = {
     "op6_factorization_machine": "toxicity",
     "op8_positional_rare_tokens": "licences",
     "op9_sum_of_squares_packing": "packing",
+    "op10_balanced_label_propagation": "sharding",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _AT.items()}
