@@ -164,10 +164,10 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(out_bounds[rows], size) + step] = mix(rolled[base + step])
     for row in np.flatnonzero((counts > 0) & (counts < k)):
-        value = np.uint64(counts[row])
+        value = np.array([counts[row]], np.uint64)
         for h in hashes[bounds[row] : bounds[row + 1]]:
-            value = mix(np.array([value * _ROOT + h], np.uint64))[0]
-        out[out_bounds[row]] = value
+            value = mix(value * _ROOT + h)
+        out[out_bounds[row]] = value[0]
     return out, out_bounds
 
 

@@ -12,6 +12,7 @@ _AT = {
     "op2_offset_preserving": "pii",
     "op3_combined_automaton": "secret_scan",
     "op4_spaced_seeds": "decontamination",
+    "op5_adaptive_prefix_join": "jaccard",
     "op6_factorization_machine": "toxicity",
     "op8_positional_rare_tokens": "licences",
     "op9_sum_of_squares_packing": "packing",
