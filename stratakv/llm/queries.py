@@ -14,6 +14,7 @@ _AT = {
     "op4_spaced_seeds": "decontamination",
     "op5_adaptive_prefix_join": "jaccard",
     "op6_factorization_machine": "toxicity",
+    "op7_katz_backoff": "katz",
     "op8_positional_rare_tokens": "licences",
     "op9_sum_of_squares_packing": "packing",
     "op10_balanced_label_propagation": "sharding",
