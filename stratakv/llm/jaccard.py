@@ -417,7 +417,7 @@ def _linked(docs: DataFrame, k: int, limit: Threshold, pairs: DataFrame, classes
 
 
 def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: int = MOST_MATCHES) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set; 0 for none) and component_id of each row."""
+    """doc_id, n_shingles, class (hash of the set; 0 for none), component (its smallest class) and component_id of each row."""
     limit = Threshold(Fraction(t))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     frequent = frequencies(texts, k)
@@ -438,9 +438,68 @@ def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: i
         found = components(links.unionAll(more))
     of_class = classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = stored(of_class.join(smallest, "component").select("node", "component_id"), "class_components")
-    out = full.select("doc_id", "n", "node").join(of_class, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), F.col("doc_id").alias("component_id")))
+    of_class = stored(of_class.join(smallest, "component").select("node", "component", "component_id"), "class_components")
+    out = full.select("doc_id", "n", "node").join(of_class, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "component", "component_id")
+    return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), F.lit(0).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, with their columns as they were.
+
+    One row stays of those that repeat an id and a set, and of a component
+    without ids; texts without words all stay.  Rows that go are looked up by
+    id and class while the texts are read if there are LOOKUP at most, and
+    joined otherwise.
+    """
+    joined = stored(self_join(docs, k, t).where("n_shingles > 0"), "joined")
+    keeper = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = joined.where(~keeper).select("doc_id", "class").distinct()
+    crowded = joined.where(keeper).groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
+    contested = joined.where(keeper).join(crowded, "component").select("doc_id", "class", "component").distinct()
+    verdicts = stored(gone.withColumn("component", F.lit(None).cast("long")).unionAll(contested), "verdicts")
+    few = verdicts.limit(LOOKUP + 1).count() <= LOOKUP
+    held = None
+    if few:
+        got = verdicts.toArrow()
+        key = _pair_hash(got.column("doc_id").combine_chunks(), unsigned(got.column("class").to_numpy()))
+        order = np.argsort(key)
+        component = got.column("component")
+        held = docs.sparkSession.sparkContext.broadcast((key[order], component.is_null().to_numpy()[order], component.fill_null(0).to_numpy()[order]))
+    tagged = docs.select("*", F.lit(None).cast("long").alias("_class"), F.lit(False).alias("_gone"), F.lit(None).cast("long").alias("_component"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, bounds = shingle_sets(part.column(part.schema.get_field_index("text")), k)
+                node = set_hash(sets, bounds)
+                none = np.zeros(part.num_rows, bool)
+                out, mine, crowd = none, np.zeros(part.num_rows, np.int64), none
+                if held and len(held.value[0]):
+                    keys, out_of, component = held.value
+                    key = _pair_hash(part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), node)
+                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    same = (keys[at] == key) & (np.diff(bounds) > 0)
+                    out, mine, crowd = same & out_of[at], component[at], same & ~out_of[at]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(node), pa.int64()), pa.array(out), pa.array(mine, pa.int64(), mask=~crowd)], names=[*part.schema.names, "_class", "_gone", "_component"])
+
+    tagged = docs.mapInArrow(run, tagged.schema)
+    if not few:
+        found = verdicts.select(F.col("doc_id").alias("_id"), F.col("class").alias("_of"), F.col("component").alias("_to"))
+        tagged = tagged.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_of")), "left")
+        tagged = tagged.withColumn("_gone", F.col("_of").isNotNull() & F.col("_to").isNull()).withColumn("_component", F.col("_to"))
+    names = docs.columns
+    stay = tagged.where("NOT _gone")
+    single = stay.where("_component IS NULL").select(*names)
+    if not verdicts.where("component IS NOT NULL").isEmpty():
+        one = stay.where("_component IS NOT NULL").groupBy("_component").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+        single = single.unionByName(one)
+    return single
+
+
+def _pair_hash(ids: pa.Array, node: np.ndarray) -> np.ndarray:
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    value = unsigned(ids.fill_null(0).to_numpy().astype(np.int64))
+    return mix(mix(value + null.astype(np.uint64) * _U(0x632BE59BD9B4E019)) ^ node)
 
 
 def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
