@@ -34,7 +34,7 @@ from .files import PendingFile, clear, discard, expand, opened, publish
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 16_384
 SPLIT_BYTES = 128 << 20
 
-_POSITIONS = "file_path string, block_no int, entry_no int"
+_POSITIONS = [T.StructField("file_path", T.StringType()), T.StructField("block_no", T.IntegerType()), T.StructField("entry_no", T.IntegerType())]
 _VIEWS = {
     "files": "file_path string, file_size long, magic string, format_version int, checksum_type string, metaindex_offset long, metaindex_size long, context_checksum long",
     "blocks": "file_path string, block_no int, offset long, size long, last_user_key binary, last_seq long, last_type int",
@@ -48,7 +48,7 @@ def _flag(options: dict, name: str, default: bool) -> bool:
 
 
 def entries_schema(positions: bool = False) -> T.StructType:
-    return T.StructType([*ENTRIES.fields, *(T._parse_datatype_string(_POSITIONS).fields if positions else [])]) if positions else ENTRIES
+    return T.StructType([*ENTRIES.fields, *_POSITIONS]) if positions else ENTRIES
 
 
 @dataclass
