@@ -9,21 +9,23 @@ most, are broadcast, and other shingles rank below them, by hash.  Any order
 gives right results, so the bound touches cost alone.
 
 *Prefixes.*  If x and y link, they share a = ceil(t / (1 + t) (|x| + |y|))
-shingles at least, and so the first |x| - a + m of x and the first |y| - a + m
-of y share m.  A text's own m is chosen between 1 and ``MOST_MATCHES`` by the
-candidates it would cost, estimated from the frequencies in its prefix, and its
-prefix is lengthened to match; a pair is a candidate if it shares as many prefix
-shingles as the smaller m of both asks for.
-
-*Candidates.*  Prefixes are dealt by ranges of shingle hashes.  In a list of
-texts that share a prefix shingle, the most central one (the least of whose set
-is rarer than the shingle) meets all others first; verified pairs give first
-components.  Then all pairs of a list that lie in different components are
+shingles at least, and so, for every m, the first |x| - a + m of x and the first
+|y| - a + m of y share m.  A text's own m is chosen between 1 and
+``MOST_MATCHES`` by the candidates it would cost, estimated from the
+frequencies in its prefix.
+
+*Candidates.*  Prefixes for m = 1 are dealt by ranges of shingle hashes.  In a
+list of texts that share a prefix shingle, the most central one (the least of
+whose set is rarer than the shingle) meets all others first; verified pairs give
+first components.  Then all pairs of a list that lie in different components are
 proposed, if sizes and places within the prefixes leave a link possible.  So a
 large group of near copies costs a star, not all its pairs, and no link between
 components is lost.  Lists of shingles with more than ``LIST`` texts are dealt
 in blocks, each block with each.
 
+*Matches.*  A proposed pair's prefixes are lengthened to the smaller m of both,
+and it is dropped unless they share as many shingles.
+
 *Verification* compares the whole sets.
 
 A class is known by a 64-bit hash of its set and shingles by 64-bit hashes; at a
@@ -51,7 +53,7 @@ from pyspark.sql import functions as F
 
 from ._blocks import mix, slices, windows, words
 from ._packed import pack, runs, signed, unpack, unsigned
-from ._store import stored, table
+from ._store import stored, table, unused
 from .components import components
 
 FREQUENT = 1 << 20
@@ -168,42 +170,35 @@ def matches_asked(counts: np.ndarray, size: int, limit: Threshold, most: int) ->
     return choice
 
 
-ROWS = "doc_id long, n long, node long, matches int, prefix binary"
+ROWS = "doc_id long, n long, node long, prefix binary"
 
 
-def _prefixes(docs: DataFrame, k: int, limit: Threshold, most: int, frequent: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
-    """One row for each text: its set's size and hash, its m, and the hashes of its prefix in order."""
+def _ordered(sets: np.ndarray, bounds: np.ndarray, frequent: tuple[int, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each set from rare to frequent, and the frequencies as known (1 for those that are not)."""
     bits, keys, counts = frequent
-    held = docs.sparkSession.sparkContext.broadcast((keys, counts))
-    shift = _U(64 - bits)
+    often = np.ones(len(sets), np.int64)
+    if len(keys):
+        own = sets >> _U(64 - bits)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        same = keys[at] == own
+        often[same] = counts[at[same]]
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((sets, often, rows))
+    return sets[order], often[order]
+
+
+def _prefixes(docs: DataFrame, k: int, limit: Threshold, frequent) -> DataFrame:
+    """One row for each text: its set's size and hash, and its prefix for one match, in order. frequent: a broadcast of ``frequencies``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = held.value
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, bounds = shingle_sets(part.column(1), k)
-                often = np.ones(len(sets), np.int64)
-                if len(keys):
-                    own = sets >> shift
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    same = keys[at] == own
-                    often[same] = counts[at[same]]
-                rows = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                order = np.lexsort((sets, often, rows))
-                sets_o, often_o = sets[order], often[order]
-                matches, prefixes = [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    n = b - a
-                    if not n:
-                        matches.append(0), prefixes.append(b"")
-                        continue
-                    m = matches_asked(often_o[a:b], n, limit, most)
-                    matches.append(m)
-                    prefixes.append(sets_o[a : a + n - int(limit.least(n)) + m].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(signed(set_hash(sets, bounds)), pa.int64()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "n", "node", "matches", "prefix"],
-                )
+                ordered, _ = _ordered(sets, bounds, frequent.value)
+                n = np.diff(bounds)
+                length = np.where(n > 0, n - limit.least(n) + 1, 0)
+                prefixes = [ordered[a : a + m].tobytes() for a, m in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(signed(set_hash(sets, bounds)), pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "node", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
@@ -211,8 +206,8 @@ def _prefixes(docs: DataFrame, k: int, limit: Threshold, most: int, frequent: tu
 # ------------------------------------------------------------------ candidates
 
 
-def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np.ndarray], work, schema: str) -> DataFrame:
-    """Deals the prefixes of (node, component, n, matches, prefix) by ranges of shingle hashes and calls ``work`` on each range.
+def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np.ndarray, int], work) -> DataFrame:
+    """Deals the prefixes of (node, component, n, prefix) by ranges of shingle hashes and calls ``work`` on each range.
 
     ``work`` gets columns sorted by key, and the bounds of equal keys.  Long lists come in blocks, each block with each.
     """
@@ -225,7 +220,7 @@ def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            key, node, comp, n, m, at = (np.concatenate([h[i] for h in held]) for i in range(6))
+            key, node, comp, n, at = (np.concatenate([h[i] for h in held]) for i in range(5))
             held.clear()
             part = (key * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(ranges)
             order = np.lexsort((key, part))
@@ -234,14 +229,14 @@ def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[r] : cuts[r + 1]]
                 ids.append(r)
-                blobs.append([pack(key[o], True), pack(node[o]), pack(comp[o] ^ node[o]), pack(n[o]), pack(m[o]), pack(at[o])])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(6))], ["part", "key", "node", "comp", "n", "m", "at"])
+                blobs.append([pack(key[o], True), pack(node[o]), pack(comp[o] ^ node[o]), pack(n[o]), pack(at[o])])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(5))], ["part", "key", "node", "comp", "n", "at"])
 
         size = 0
         for batch in batches:
             node, comp = unsigned(batch.column(0).to_numpy()), unsigned(batch.column(1).to_numpy())
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            flat = [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
+            n = batch.column(2).to_numpy()
+            flat = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
             length = np.array([len(x) for x in flat], np.int64)
             if not length.sum():
                 continue
@@ -251,7 +246,7 @@ def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np
             key = whole >> shift
             if len(hot.value[1]):
                 key, row, at = _blocked(key, whole, row, at, node, *hot.value)
-            held.append((key, node[row], comp[row], n[row], m[row], at))
+            held.append((key, node[row], comp[row], n[row], at))
             size += len(key)
             if size > 3_000_000:
                 yield flush()
@@ -260,22 +255,22 @@ def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np
             yield flush()
 
     def run(rows: pa.Table) -> pa.Table:
-        columns = [np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("key", "node", "comp", "n", "m", "at")]
+        columns = [np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("key", "node", "comp", "n", "at")]
         order = np.argsort(columns[0], kind="stable")
-        key, node, comp, n, m, at = (c[order] for c in columns)
-        return work(node, comp ^ node, n.astype(np.int64), m.astype(np.int64), at.astype(np.int64), runs(key))
+        key, node, comp, n, at = (c[order] for c in columns)
+        return work(node, comp ^ node, n.astype(np.int64), at.astype(np.int64), runs(key))
 
-    return classes.select("node", "component", "n", "matches", "prefix").mapInArrow(emit, "part int, key binary, node binary, comp binary, n binary, m binary, at binary").groupBy("part").applyInArrow(run, schema)
+    return classes.select("node", "component", "n", "prefix").mapInArrow(emit, "part int, key binary, node binary, comp binary, n binary, at binary").groupBy("part").applyInArrow(run, PAIRS)
 
 
-def _blocked(key: np.ndarray, whole: np.ndarray, row: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int, keys: np.ndarray, counts: np.ndarray):
-    """Gives each place in a list of more than LIST texts a key for each pair of blocks that its text's block is in."""
+def _blocked(key: np.ndarray, whole: np.ndarray, row: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int, keys: np.ndarray, counts: np.ndarray, most: int):
+    """Gives each place in a list of more than ``most`` texts a key for each pair of blocks that its text's block is in."""
     own = whole >> _U(64 - bits)
     k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     hit = np.flatnonzero(keys[k] == own)
     if not len(hit):
         return key, row, at
-    blocks = -(-counts[k[hit]] // LIST)
+    blocks = -(-counts[k[hit]] // most)
     mine = (mix(node[row[hit]]) % blocks.astype(np.uint64)).astype(np.int64)
     copy = np.repeat(np.arange(len(hit)), blocks)
     other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -287,28 +282,27 @@ def _blocked(key: np.ndarray, whole: np.ndarray, row: np.ndarray, at: np.ndarray
     return np.concatenate((key[rest], new)), np.concatenate((row[rest], row[hit][copy])), np.concatenate((at[rest], at[hit][copy]))
 
 
-PAIRS = "a long, b long, shared int, need int"
+PAIRS = "a long, b long"
 
 
-def _pair_table(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> pa.Table:
-    """Distinct pairs, how often each was proposed, and how often it must be."""
+def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Distinct pairs."""
     low, high = np.minimum(signed(a), signed(b)), np.maximum(signed(a), signed(b))
     order = np.lexsort((high, low))
-    low, high, need = low[order], high[order], need[order]
+    low, high = low[order], high[order]
     first = np.ones(len(low), bool)
     first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    begins = np.flatnonzero(first)
-    return pa.table({"a": pa.array(low[begins], pa.int64()), "b": pa.array(high[begins], pa.int64()), "shared": pa.array(np.diff(np.append(begins, len(low))), pa.int32()), "need": pa.array(need[begins], pa.int32())})
+    return pa.table({"a": pa.array(low[first], pa.int64()), "b": pa.array(high[first], pa.int64())})
 
 
-def _possible(limit: Threshold, n1, at1, n2, at2, need):
-    """Whether places at1 and at2 of a shared shingle lie in the prefixes that sets of n1 and n2 must share ``need`` shingles in."""
+def _possible(limit: Threshold, n1, at1, n2, at2):
+    """Whether places at1 and at2 of a shared shingle lie in the prefixes that linking sets of n1 and n2 must share a shingle in."""
     least = limit.overlap(n1, n2)
-    return (np.minimum(n1, n2) >= least) & (at1 < n1 - least + need) & (at2 < n2 - least + need)
+    return (np.minimum(n1, n2) >= least) & (at1 <= n1 - least) & (at2 <= n2 - least)
 
 
 def _stars(limit: Threshold):
-    def work(node, comp, n, m, at, bounds):
+    def work(node, comp, n, at, bounds):
         length = np.diff(bounds)
         several = np.flatnonzero(length > 1)
         which = np.repeat(np.arange(len(length)), length)
@@ -317,26 +311,25 @@ def _stars(limit: Threshold):
         hub = order[bounds[:-1]]
         mine = hub[which]
         keep = np.isin(which, several) & (node != node[mine])
-        keep &= _possible(limit, n, at, n[mine], at[mine], np.minimum(m, m[mine]))
-        return _pair_table(node[keep], node[mine][keep], np.ones(int(keep.sum()), np.int64))
+        keep &= _possible(limit, n, at, n[mine], at[mine])
+        return _pair_table(node[keep], node[mine][keep])
 
     return work
 
 
 def _across(limit: Threshold):
-    def work(node, comp, n, m, at, bounds):
+    def work(node, comp, n, at, bounds):
         left, right = [], []
         length = np.diff(bounds)
         which = np.repeat(np.arange(len(length)), length)
         order = np.lexsort((n, which))  # by size within a list
-        node, comp, n, m, at = node[order], comp[order], n[order], m[order], at[order]
+        node, comp, n, at = node[order], comp[order], n[order], at[order]
         for k in np.flatnonzero(length > 1).tolist():
             a, b = int(bounds[k]), int(bounds[k + 1])
             if (comp[a:b] == comp[a]).all():
                 continue
             # The largest partner that a text's place allows; texts that no size in the list suits are left out.
-            up = n[a:b] - at[a:b] + m[a:b] - 1
-            reach = up * (limit.t.numerator + limit.t.denominator) // limit.t.numerator - n[a:b]
+            reach = (n[a:b] - at[a:b]) * (limit.t.numerator + limit.t.denominator) // limit.t.numerator - n[a:b]
             alive = a + np.flatnonzero(reach >= np.maximum(limit.least(n[a:b]), n[a]))
             if len(alive) < 2:
                 continue
@@ -348,11 +341,11 @@ def _across(limit: Threshold):
                 i = np.repeat(rows, width)
                 j = i + 1 + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
                 i, j = alive[i], alive[j]
-                ok = (comp[i] != comp[j]) & _possible(limit, n[i], at[i], n[j], at[j], np.minimum(m[i], m[j]))
+                ok = (comp[i] != comp[j]) & _possible(limit, n[i], at[i], n[j], at[j])
                 left.append(i[ok]), right.append(j[ok])
         i = np.concatenate(left) if left else np.zeros(0, np.int64)
         j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return _pair_table(node[i], node[j], np.minimum(m[i], m[j]))
+        return _pair_table(node[i], node[j])
 
     return work
 
@@ -360,12 +353,12 @@ def _across(limit: Threshold):
 # ---------------------------------------------------------------- verification
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the classes in ``wanted`` (node, first_id), from one text of each.
+def _sets(docs: DataFrame, k: int, limit: Threshold, most: int, frequent, wanted: DataFrame, lookup: int) -> DataFrame:
+    """(node, matches, items) of the classes in ``wanted`` (node, first_id): a text's m and its set in order.
 
-    Up to LOOKUP wanted classes are looked up while the texts are read; more are joined afterwards.
+    Up to ``lookup`` wanted classes are looked up while the texts are read; more are joined afterwards.
     """
-    few = wanted.limit(LOOKUP + 1).count() <= LOOKUP
+    few = wanted.limit(lookup + 1).count() <= lookup
     held = None
     if few:
         got = wanted.toArrow()
@@ -382,58 +375,71 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 keep = np.diff(bounds) > 0
                 if held:
                     nodes, anyone, firsts = held.value
-                    at = np.minimum(np.searchsorted(nodes, node), max(0, len(nodes) - 1))
+                    if not len(nodes):
+                        return
+                    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
                     ids = part.column(0)
-                    same = (ids.fill_null(0).to_numpy() == firsts[at]) & ~ids.is_null().to_numpy(zero_copy_only=False) if len(nodes) else keep
-                    keep &= (nodes[at] == node) & (same | anyone[at]) if len(nodes) else False
+                    same = (ids.fill_null(0).to_numpy() == firsts[at]) & ~ids.is_null().to_numpy(zero_copy_only=False)
+                    keep &= (nodes[at] == node) & (same | anyone[at])
                 rows = [r for r in np.flatnonzero(keep).tolist() if not (int(node[r]) in sent or len(sent) < 100_000 and sent.add(int(node[r])))]
-                yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), pa.array([sets[bounds[r] : bounds[r + 1]].tobytes() for r in rows], pa.binary())], ["node", "items"])
-
-    made = docs.select("doc_id", "text").mapInArrow(run, "node long, items binary")
-    return (made if few else made.join(wanted.select("node"), "node", "left_semi")).groupBy("node").agg(F.min("items").alias("items"))
-
-
-def _linked(docs: DataFrame, k: int, limit: Threshold, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+                if not rows:
+                    continue
+                chosen = np.concatenate([sets[bounds[r] : bounds[r + 1]] for r in rows])
+                ends = np.concatenate(([0], np.cumsum([bounds[r + 1] - bounds[r] for r in rows])))
+                ordered, often = _ordered(chosen, ends, frequent.value)
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                matches = [matches_asked(often[a:b], b - a, limit, most) for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), pa.array(matches, pa.int32()), pa.array([ordered[a:b].tobytes() for a, b in spans], pa.binary())], ["node", "matches", "items"])
+
+    made = docs.select("doc_id", "text").mapInArrow(run, "node long, matches int, items binary")
+    made = stored(made if few else made.join(wanted.select("node"), "node", "left_semi"), "sets")
+    if made.select("node").distinct().count() == made.count():
+        return made
+    # Rows that repeat an id and a set, met by several tasks.
+    return stored(made.groupBy("node").agg(F.max("matches").alias("matches"), F.max("items").alias("items")), "sets")
+
+
+def _linked(docs: DataFrame, k: int, limit: Threshold, most: int, frequent, pairs: DataFrame, classes: DataFrame, lookup: int) -> DataFrame:
+    """Those of the pairs (a, b) that link: prefixes lengthened to the smaller m share m shingles, and then the sets are alike."""
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_sets(docs, k, stored(nodes.join(classes.select("node", "first_id"), "node"), "wanted")), "sets")
+    sets = _sets(docs, k, limit, most, frequent, stored(nodes.join(classes.select("node", "first_id"), "node"), "wanted"), lookup)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(bool(limit.links(shared, len(p), len(q))))
+            for x, mx, y, my in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+                p, q, m = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), min(mx, my)
+                least = int(limit.overlap(len(p), len(q)))
+                ok = min(len(p), len(q)) >= least and len(np.intersect1d(p[: len(p) - least + m], q[: len(q) - least + m], True)) >= m
+                keep.append(ok and bool(limit.links(len(np.intersect1d(p, q, True)), len(p), len(q))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    return first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x"), F.col("matches").alias("mx")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y"), F.col("matches").alias("my")), "b")
+    return both.select("a", "b", "x", "mx", "y", "my").mapInArrow(run, "a long, b long")
 
 
 # ------------------------------------------------------------------- the join
 
 
-def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: int = MOST_MATCHES) -> DataFrame:
+def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: int = MOST_MATCHES, longest: int = LIST, lookup: int = LOOKUP) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set; 0 for none), component (its smallest class) and component_id of each row."""
     limit = Threshold(Fraction(t))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    frequent = frequencies(texts, k)
-    large = frequent[2] > LIST
-    long_lists = (frequent[0], frequent[1][large], frequent[2][large])
-    rows = stored(_prefixes(texts, k, limit, most, frequent), "prefixes")
+    counted = frequencies(texts, k)
+    frequent = docs.sparkSession.sparkContext.broadcast(counted)
+    large = counted[2] > longest
+    long_lists = (counted[0], counted[1][large], counted[2][large], longest)
+    rows = stored(_prefixes(texts, k, limit, frequent), "prefixes")
     full = rows.where("n > 0")
-    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("matches").alias("matches"), F.max("prefix").alias("prefix")), "classes")
+    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "classes")
     total = int(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).collect()[0].n) // 8
-    first = _lists(classes.withColumn("component", F.col("node")), total, long_lists, _stars(limit), PAIRS)
-    links = stored(_linked(texts, k, limit, stored(first.select("a", "b").distinct(), "stars"), classes), "links")
+    first = _lists(classes.withColumn("component", F.col("node")), total, long_lists, _stars(limit))
+    links = stored(_linked(texts, k, limit, most, frequent, stored(first.distinct(), "stars"), classes, lookup), "links")
     found = components(links)
     known = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = _lists(known, total, long_lists, _across(limit), PAIRS)
-    proposed = across.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    more = stored(_linked(texts, k, limit, stored(proposed, "across"), classes), "links")
+    across = _lists(known, total, long_lists, _across(limit))
+    more = stored(_linked(texts, k, limit, most, frequent, stored(across.distinct(), "across"), classes, lookup), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))
     of_class = classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -443,21 +449,21 @@ def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: i
     return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), F.lit(0).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), lookup: int = LOOKUP) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with their columns as they were.
 
     One row stays of those that repeat an id and a set, and of a component
     without ids; texts without words all stay.  Rows that go are looked up by
-    id and class while the texts are read if there are LOOKUP at most, and
+    id and class while the texts are read if there are ``lookup`` at most, and
     joined otherwise.
     """
-    joined = stored(self_join(docs, k, t).where("n_shingles > 0"), "joined")
+    joined = stored(self_join(docs, k, t, lookup=lookup).where("n_shingles > 0"), "joined")
     keeper = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = joined.where(~keeper).select("doc_id", "class").distinct()
     crowded = joined.where(keeper).groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
     contested = joined.where(keeper).join(crowded, "component").select("doc_id", "class", "component").distinct()
     verdicts = stored(gone.withColumn("component", F.lit(None).cast("long")).unionAll(contested), "verdicts")
-    few = verdicts.limit(LOOKUP + 1).count() <= LOOKUP
+    few = verdicts.limit(lookup + 1).count() <= lookup
     held = None
     if few:
         got = verdicts.toArrow()
@@ -465,7 +471,8 @@ def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> Da
         order = np.argsort(key)
         component = got.column("component")
         held = docs.sparkSession.sparkContext.broadcast((key[order], component.is_null().to_numpy()[order], component.fill_null(0).to_numpy()[order]))
-    tagged = docs.select("*", F.lit(None).cast("long").alias("_class"), F.lit(False).alias("_gone"), F.lit(None).cast("long").alias("_component"))
+    of, gone_in, into = (unused(docs, n) for n in ("_class", "_gone", "_component"))
+    tagged = docs.select("*", F.lit(None).cast("long").alias(of), F.lit(False).alias(gone_in), F.lit(None).cast("long").alias(into))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,18 +487,18 @@ def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> Da
                     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                     same = (keys[at] == key) & (np.diff(bounds) > 0)
                     out, mine, crowd = same & out_of[at], component[at], same & ~out_of[at]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(node), pa.int64()), pa.array(out), pa.array(mine, pa.int64(), mask=~crowd)], names=[*part.schema.names, "_class", "_gone", "_component"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(node), pa.int64()), pa.array(out), pa.array(mine, pa.int64(), mask=~crowd)], names=[*part.schema.names, of, gone_in, into])
 
     tagged = docs.mapInArrow(run, tagged.schema)
     if not few:
-        found = verdicts.select(F.col("doc_id").alias("_id"), F.col("class").alias("_of"), F.col("component").alias("_to"))
-        tagged = tagged.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_of")), "left")
-        tagged = tagged.withColumn("_gone", F.col("_of").isNotNull() & F.col("_to").isNull()).withColumn("_component", F.col("_to"))
+        found = verdicts.alias("f")
+        tagged = tagged.drop(gone_in, into).alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{of}") == F.col("f.class")), "left")
+        tagged = tagged.select("d.*", (F.col("f.class").isNotNull() & F.col("f.component").isNull()).alias(gone_in), F.col("f.component").alias(into))
     names = docs.columns
-    stay = tagged.where("NOT _gone")
-    single = stay.where("_component IS NULL").select(*names)
+    stay = tagged.where(~F.col(gone_in))
+    single = stay.where(F.col(into).isNull()).select(*names)
     if not verdicts.where("component IS NOT NULL").isEmpty():
-        one = stay.where("_component IS NOT NULL").groupBy("_component").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+        one = stay.where(F.col(into).isNotNull()).groupBy(into).agg(F.first(F.struct(*names)).alias("row")).select("row.*")
         single = single.unionByName(one)
     return single
 
