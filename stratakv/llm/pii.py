@@ -164,10 +164,15 @@ def _has_names(text: str) -> bool:
 
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 
+
+#: Last labels of domains that make a bare "dot" one of an address.
+_TOP = r"(?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es)\b"
+_SPELLED_DOTS = rf"(?:\s(?:dot|punto)\s[\w-]{{1,63}})*(?:\s(?:dot|punto)\s|\s?{_OPEN}(?:dot|punkt|point|punto){_CLOSE}\s?){_TOP}"
+
 GLYPHS = Transducer("[" + re.escape("".join(_GLYPHS)) + "]", lambda m: [(m.start(), m.end(), _GLYPHS.get(m[0], m[0]))], lambda t: not t.isascii() and not _GLYPH_SET.isdisjoint(t))
 DIGITS = Transducer(rf"(?<!\w)(?P<plus>plus\s|\+\s?)?{_NAME}(?:[\x20,.-]{{1,2}}{_NAME}){{3,}}(?!\w)", _spelled, _has_names)
 MARKS = Transducer(
-    rf"\s?{_OPEN}(?P<at>at|ät|arroba|arobase){_CLOSE}\s?|\s?{_OPEN}(?P<dot>dot|punkt|point|punto){_CLOSE}\s?|(?<=[\w%+-])\s(?P<at2>at|arroba)\s(?=[\w-]{{1,63}}(?:\.|\s(?:dot|punto)\s|\s?{_OPEN}(?:dot|punkt|point|punto)))|(?<=[\w-])\s(?P<dot2>dot|punto)\s(?=[\w-])",
+    rf"\s?{_OPEN}(?P<at>at|ät|arroba|arobase){_CLOSE}\s?|\s?{_OPEN}(?P<dot>dot|punkt|point|punto){_CLOSE}\s?|(?<=[\w%+-])\s(?P<at2>at|arroba)\s(?=[\w-]{{1,63}}{_SPELLED_DOTS})|(?<=[\w-])\s(?P<dot2>dot|punto)\s(?={_TOP}|[\w-]{{1,63}}{_SPELLED_DOTS})",
     lambda m: [(m.start(), m.end(), "@" if m["at"] or m["at2"] else ".")],
     lambda t: any(x in t for x in ("dot", "DOT", "Dot", "at]", "at)", "AT]", "AT)", "at}", "at>", "pun", "point", "arroba", "arobase", "ät")),
 )
