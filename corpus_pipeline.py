@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.llm import decontamination, jaccard, packing, secret_scan, toxicity
-from stratakv.llm._store import stored, table
+from stratakv.llm._store import stored, table, unused
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    name = unused(docs, "toxicity")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), name)
+    return scored.where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ pass over all texts.
 Cases: a null or empty text gets the score of the bias; a null id is no
 training row; labels that are null or not 0 or 1 are left out, and without any
 label the score is 0; repeated rows are scored each; tables may be empty; the
-input's other columns pass through, and one named ``score`` is replaced.
+input's other columns pass through, and one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ TRAIN_ROWS = 20_000
 LEAST_DOCS = 3
 LEAST_Z = 3.0
 RANK = 4
+STEPS = 4000
 THRESHOLD = 0.7
 
 
@@ -108,8 +109,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, rank: int = RANK, least_doc
     rate, decay = 0.15, 5e-4
     order = rng.permutation(len(labels))
     apart, learn = order[: len(order) // 4], order[len(order) // 4 :]
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(learn), max(1, len(learn) // 128)):
+    step = min(128, max(8, len(learn) // 24))
+    for _ in range(max(epochs, STEPS * step // max(1, len(learn)))):
+        for batch in np.array_split(rng.permutation(learn), max(1, len(learn) // step)):
             length = begins[batch + 1] - begins[batch]
             at = np.repeat(begins[batch] - (np.cumsum(length) - length), length) + np.arange(length.sum())
             f, r = feature[at], np.repeat(np.arange(len(batch)), length)
@@ -141,7 +143,7 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     theta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (p - target) + 0.05 * (theta - [1.0, 0.0]))
         theta -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -168,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)
     return fit([np.frombuffer(x.terms, np.uint64) for x in got], np.array([x.toxic for x in got], float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column score, 0 to 1."""
-    rest = docs.drop("score")
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """``docs`` with a column of scores, 0 to 1."""
+    rest = docs.drop(into)
     held = docs.sparkSession.sparkContext.broadcast((model.hashes, model.bias, model.weights, model.vectors, model.scale, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +181,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 h, r = _terms(part.column(part.schema.get_field_index("text")))
                 places, feature = own.known(h)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.scores(feature, r[places], part.num_rows))], names=[*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.scores(feature, r[places], part.num_rows))], names=[*part.schema.names, into])
 
-    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast("double").alias("score")).schema)
+    return rest.mapInArrow(run, rest.select("*", F.lit(None).cast("double").alias(into)).schema)
 
 
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
