@@ -19,8 +19,14 @@ def merge(*runs: DataFrame, number: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, runs)
 
 
-def in_order(entries: DataFrame) -> DataFrame:
-    """Sorted by internal key, across partitions; ties by source, then value."""
+def in_order(entries: DataFrame, *order: Column) -> DataFrame:
+    """Sorted by internal key, across partitions; ties by source, then value.
+
+    order: another order, as sort expressions; a comparator of one's own must be
+    said as columns that sort alike.
+    """
+    if order:
+        return entries.orderBy(*order)
     return entries.orderBy(*internal_order(tuple(c for c in ("source_id", "value") if c in entries.columns)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys
+from .functions.lines import parse_line
 from .operators import history, merge, policies
 from .plans import compaction
 from .schema import type_name
@@ -240,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sst_meta": sst_meta,
     "sst_blocks": sst_blocks,
     "dump_lines": lambda s, d: compaction.dump(events(s, d)),
+    "parse_dump_lines": lambda s, d: shown(compaction.dump(events(s, d)).select(parse_line(F.col("line")).alias("e")).select("e.user_key", "e.value")),
 }
 
 _COLUMNS = "user_key, seq, value_type, value"
@@ -310,4 +312,5 @@ ORACLE_SQL: dict[str, str] = {
     "sst_files": "SELECT '0x88e241b785f4cff7' AS magic, 7 AS format_version, 'XXH3' AS checksum_type, CAST(1 AS BIGINT) AS context_checksum",
     "sst_meta": "SELECT unnest(['rocksdb.index', 'rocksdb.properties']) AS name, true AS found",
     "dump_lines": _over(EVENTS, "SELECT user_key || ' ==> ' || value AS line FROM entries"),
+    "parse_dump_lines": _over(EVENTS, "SELECT user_key, value FROM entries"),
 }
