@@ -1,30 +1,15 @@
-"""Tables that cut lineage, kept in the folder that driver and executors share."""
+"""Tables that cut lineage, kept in the folder that driver and executors share; ids and names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of its own where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="stratakv-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["id_remainder", "py_remainder", "stored", "table", "unused"]
 
 
 def id_remainder(column: Column, n: int) -> Column:

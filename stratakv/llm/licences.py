@@ -120,8 +120,13 @@ class Index:
         votes = np.unique(np.concatenate((np.column_stack((template, step, key)), np.column_stack((template, step - 1, key)))), axis=0)
         groups, agreed = np.unique(votes[:, :2], axis=0, return_counts=True)
         labels, best, tried = set(), 0.0, set()
+        low, width = int(step.min()) - 1, int(step.max() - step.min()) + 3
+        place_key = template * width + step - low
+        order = np.argsort(place_key, kind="stable")
+        place_key, begin = place_key[order], begin[order]
         for t, s in groups[agreed >= self.needs[groups[:, 0]]].tolist():
-            mine = begin[(template == t) & ((step == s) | (step == s + 1))]
+            key = t * width + s - low
+            mine = begin[np.searchsorted(place_key, key, "left") : np.searchsorted(place_key, key + 1, "right")]
             values, counts = np.unique(mine, return_counts=True)
             start = int(values[np.argmax(counts)])
             if (t, start) in tried:
