@@ -5,7 +5,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
 
 from .checksum import Checksum, checksum, context
 from .compression import compress, decompress
@@ -67,9 +66,12 @@ def read_entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
     """Keys and values of a data block, in order."""
     end, at, key = entries_end(block), 0, b""
     while at < end:
-        shared, at = get_varint(block, at, 32)
-        fresh, at = get_varint(block, at, 32)
-        size, at = get_varint(block, at, 32)
+        if at + 3 <= end and (shared := block[at]) < 128 and (fresh := block[at + 1]) < 128 and (size := block[at + 2]) < 128:
+            at += 3  # the usual case: three numbers of one byte
+        else:
+            shared, at = get_varint(block, at, 32)
+            fresh, at = get_varint(block, at, 32)
+            size, at = get_varint(block, at, 32)
         if shared > len(key):
             raise SstFormatError(f"entry shares {shared} bytes with a key of {len(key)}")
         if at + fresh + size > end:
@@ -109,6 +111,13 @@ def read_index(block: bytes, delta: bool = True) -> Iterator[tuple[bytes, Handle
         yield key, last
 
 
+def shared_length(a: bytes, b: bytes) -> int:
+    """How many leading bytes are equal."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7 >> 3)
+
+
 class BlockWriter:
     """Collects sorted entries. interval: entries from one restart point to the next."""
 
@@ -124,7 +133,7 @@ class BlockWriter:
         if restart:
             self.restarts.append(len(self.body))
             self.since = 0
-        shared = 0 if restart else len(commonprefix((self.last, key)))
+        shared = 0 if restart else shared_length(self.last, key)
         self.since += 1
         self.count += 1
         self.last = key
@@ -132,7 +141,10 @@ class BlockWriter:
 
     def add(self, key: bytes, value: bytes) -> None:
         shared, _ = self._begin(key)
-        self.body += put_varint(shared) + put_varint(len(key) - shared) + put_varint(len(value)) + key[shared:] + value
+        fresh, size = len(key) - shared, len(value)
+        self.body += bytes((shared, fresh, size)) if shared < 128 and fresh < 128 and size < 128 else put_varint(shared) + put_varint(fresh) + put_varint(size)
+        self.body += key[shared:]
+        self.body += value
 
     def size(self) -> int:
         return len(self.body) + 4 * len(self.restarts) + 4
