@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import ALNUM, slices, words
-from ._store import id_remainder, table
+from ._store import id_remainder, stored, table
 
 TRAIN_ROWS = 20_000
 LEAST_DOCS = 3
@@ -85,16 +85,31 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], r[new]
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, rank: int = RANK, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, epochs: int = 30, seed: int = 7) -> Model:
-    """Adaptive gradient steps on the logistic loss; ``texts`` are the distinct term hashes of each row."""
+def _telling(docs: np.ndarray, toxic: np.ndarray, rows: int, share: float, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> np.ndarray:
+    """Which terms to keep, by the rows and toxic rows that contain them."""
+    z = (toxic - docs * share) / np.sqrt(docs * share * (1 - share))
+    return (docs >= least_docs) & (np.abs(z) >= least_z)
+
+
+def _share(positive: float, rows: int) -> float:
+    return float(np.clip(positive / rows, 1e-4, 1 - 1e-4)) if rows else 0.5
+
+
+def terms_kept(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The sorted hashes of the terms that a model of these rows keeps."""
+    every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    hashes, which, docs = np.unique(every, return_inverse=True, return_counts=True)
+    toxic = np.bincount(which, np.repeat(labels, [len(t) for t in texts]), len(hashes))
+    return hashes[_telling(docs, toxic, len(labels), _share(labels.sum(), len(labels)))]
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, hashes: np.ndarray | None = None, rank: int = RANK, epochs: int = 30, seed: int = 7) -> Model:
+    """Adaptive gradient steps on the logistic loss; ``texts`` are the distinct term hashes of each row, ``hashes`` the terms to keep."""
     rng = np.random.default_rng(seed)
     every = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
-    hashes, which, docs = np.unique(every, return_inverse=True, return_counts=True)
-    share = np.clip(labels.mean(), 1e-4, 1 - 1e-4) if len(labels) else 0.5
-    toxic = np.bincount(which, np.repeat(labels, sizes), len(hashes))
-    z = (toxic - docs * share) / np.sqrt(docs * share * (1 - share))
-    hashes = hashes[(docs >= least_docs) & (np.abs(z) >= least_z)]
+    hashes = terms_kept(texts, labels) if hashes is None else hashes
+    share = _share(labels.sum(), len(labels))
     n = len(hashes)
     model = Model(hashes, 0.0, np.zeros(n), rng.normal(0, 0.05, (n, rank)))
     if not len(labels):
@@ -174,10 +189,35 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1)
                 bounds = np.searchsorted(r, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()), part.column(1), part.column(2)], ["terms", "toxic", "id"])
 
-    # Rows that repeat an id count once, so the driver gets no more rows than the sample has.
-    got = texts.mapInArrow(features, "terms binary, toxic int, id string").groupBy("id", "toxic").agg(F.min("terms").alias("terms")).collect()
-    got.sort(key=lambda x: (bytes(x.terms), x.toxic))
-    return fit([np.frombuffer(x.terms, np.uint64) for x in got], np.array([x.toxic for x in got], float))
+    # Rows that repeat an id count once, so there are no more rows than the sample has.
+    drawn = stored(texts.mapInArrow(features, "terms binary, toxic int, id string").groupBy("id", "toxic").agg(F.min("terms").alias("terms")), "terms")
+    total = drawn.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).collect()[0]
+    share = _share(total.toxic, total.n)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                own = [np.frombuffer(t, np.uint64) for t in part.column(0).to_pylist()]
+                h, which, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+                toxic = np.bincount(which, np.repeat(part.column(1).to_numpy(), [len(t) for t in own]), len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(toxic.astype(np.int64))], ["term", "docs", "toxic"])
+
+    counted = drawn.select("terms", "toxic").mapInArrow(count, "term long, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    # Only terms that tell something reach the driver, and of each row only those.
+    likely = counted.where((F.col("docs") >= LEAST_DOCS) & (F.abs(F.col("toxic") - F.col("docs") * share) >= LEAST_Z * F.sqrt(F.col("docs") * (share * (1 - share)))))
+    kept = likely.toArrow()
+    which = _telling(kept.column("docs").to_numpy(), kept.column("toxic").to_numpy(), total.n, share)
+    hashes = np.sort(kept.column("term").to_numpy()[which].astype(np.int64).view(np.uint64))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(t, np.uint64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t[np.isin(t, hashes)].tobytes() for t in own], pa.binary()), batch.column(1), batch.column(2)], ["terms", "toxic", "id"])
+
+    got = drawn.select("terms", "toxic", "id").mapInArrow(told, "terms binary, toxic int, id string").toArrow().to_pylist()
+    got.sort(key=lambda x: (x["id"], x["toxic"]))
+    return fit([np.frombuffer(x["terms"], np.uint64) for x in got], np.array([x["toxic"] for x in got], float), hashes)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
