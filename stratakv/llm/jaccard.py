@@ -61,6 +61,7 @@ MOST_MATCHES = 4
 LIST = 20_000
 RANGE_ROWS = 400_000
 LOOKUP = 1 << 21
+LINKED = 1 << 19
 _U = np.uint64
 
 
@@ -437,7 +438,9 @@ def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: i
     first = _lists(classes.withColumn("component", F.col("node")), total, long_lists, _stars(limit))
     links = stored(_linked(texts, k, limit, most, frequent, stored(first.distinct(), "stars"), classes, lookup), "links")
     found = components(links)
-    known = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Most texts link with nothing: while the linked ones are few, prefixes need not move to meet them.
+    few = F.broadcast(found) if found.limit(LINKED + 1).count() <= LINKED else found
+    known = classes.join(few, "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = _lists(known, total, long_lists, _across(limit))
     more = stored(_linked(texts, k, limit, most, frequent, stored(across.distinct(), "across"), classes, lookup), "links")
     if not more.isEmpty():
