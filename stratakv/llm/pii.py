@@ -8,7 +8,8 @@ source characters that it stands for:
 * ``glyphs`` turns look-alikes and wide forms into ASCII and drops characters of
   no width;
 * ``digits`` turns runs of spelled digits into figures;
-* ``marks`` turns "(at)", "[dot]" and their kind into "@" and ".".
+* ``marks`` turns "(at)", "[dot]" and their kind into "@" and ".", and bare words
+  "at" and "dot" where the whole looks like an address or figures with dots.
 
 The detectors run again on what the chain wrote, and the records of all links
 compose, so a span found there maps back to the source characters.  Texts in
@@ -163,17 +164,69 @@ def _has_names(text: str) -> bool:
 
 
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
+_WORD = r"[\w.%+-]"
+_MARK = rf"\s?{_OPEN}(?:(?P<at>at|ät|arroba|arobase)|(?P<dot>dot|punkt|point|punto)){_CLOSE}\s?|\s(?:(?P<at2>at|arroba)|(?P<dot2>dot|punto)|(?P<dot3>punkt|point))\s|(?P<sign>@)"
+_ANY_MARK = re.sub(r"\?P<\w+>", "?:", _MARK)
+_MARKS_OF = re.compile(rf"(?:{_MARK})(?={_WORD})", re.IGNORECASE)
+
+#: Words before a bare "dot" that make it a noun.
+_NOUN = frozenset("the a an this that these those each every any some no another my your his her its our their el la un una este ese cada".split())
+#: Words of prose after a bare "dot". None is a top-level domain.
+_PROSE = frozenset("on and or of the that which was were are from with has had have will when where for if than then but que con por para cuando dot punto".split())
+
+
+def _last_label(word: str) -> bool:
+    """Whether a domain may end with ``word``: two letters or more, or a punycode label."""
+    label = word.rstrip("._%+-").rpartition(".")[2].lower()
+    return label.startswith("xn--") or (len(label) > 1 and label.isascii() and label.isalpha())
+
+
+def _disguised(m: re.Match) -> list[tuple[int, int, str]]:
+    """What a run of words and marks between them stands for.
+
+    Marks in brackets are always rewritten.  A bare "dot" is, between two figures
+    or within the name or domain of an address, and a bare "at" before a domain
+    with a disguised dot, whose end looks like a domain's.  A domain that is only
+    "the dot" and one label is prose.
+    """
+    text = m.string
+    marks = list(_MARKS_OF.finditer(text, m.start(), m.end()))
+    words = [text[a:b] for a, b in zip([m.start(), *(x.end() for x in marks)], [*(x.start() for x in marks), m.end()], strict=True)]
+    keep = [bool(x["at"] or x["dot"]) for x in marks]
+    ats = [i for i, x in enumerate(marks) if x["at"] or x["at2"] or x["sign"]]
+    dots = [x["dot"] or x["dot2"] for x in marks]
+
+    def prose(i: int) -> bool:
+        return bool(marks[i]["dot2"]) and words[i + 1].partition(".")[0].lower() in _PROSE
+
+    end, taken = len(marks), False  # taken: what is before ``end`` belongs to the name of a later address
+    for i in reversed(ats):
+        stop = i + 1
+        while not taken and stop < end and dots[stop] and not prose(stop):
+            stop += 1
+        while stop > i + 1 and marks[stop - 1]["dot2"] and not _last_label(words[stop]):
+            stop -= 1
+        noun = stop == i + 2 and marks[i + 1]["dot2"] and words[i + 1].lower() in _NOUN
+        address = not marks[i]["at2"] or (stop > i + 1 and not noun)
+        if address:
+            keep[i] = not marks[i]["sign"]
+            keep[i + 1 : stop] = [True] * (stop - i - 1)
+            k = i
+            while k and dots[k - 1] and not prose(k - 1) and not (marks[k - 1]["dot2"] and words[k - 1].lower() in _NOUN):
+                k -= 1
+                keep[k] = True
+        end, taken = i, address
+    for i, x in enumerate(marks):
+        if (x["dot2"] or x["dot3"]) and words[i][-1:].isdecimal() and words[i + 1][:1].isdecimal():
+            keep[i] = True
+    return [(x.start(), x.end(), "@" if x["at"] or x["at2"] else ".") for x, k in zip(marks, keep, strict=True) if k]
 
 
-#: Last labels of domains that make a bare "dot" one of an address.
-_TOP = r"(?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es)\b"
-_SPELLED_DOTS = rf"(?:\s(?:dot|punto)\s[\w-]{{1,63}})*(?:\s(?:dot|punto)\s|\s?{_OPEN}(?:dot|punkt|point|punto){_CLOSE}\s?){_TOP}"
-
 GLYPHS = Transducer("[" + re.escape("".join(_GLYPHS)) + "]", lambda m: [(m.start(), m.end(), _GLYPHS.get(m[0], m[0]))], lambda t: not t.isascii() and not _GLYPH_SET.isdisjoint(t))
 DIGITS = Transducer(rf"(?<!\w)(?P<plus>plus\s|\+\s?)?{_NAME}(?:[\x20,.-]{{1,2}}{_NAME}){{3,}}(?!\w)", _spelled, _has_names)
 MARKS = Transducer(
-    rf"\s?{_OPEN}(?P<at>at|ät|arroba|arobase){_CLOSE}\s?|\s?{_OPEN}(?P<dot>dot|punkt|point|punto){_CLOSE}\s?|(?<=[\w%+-])\s(?P<at2>at|arroba)\s(?=[\w-]{{1,63}}{_SPELLED_DOTS})|(?<=[\w-])\s(?P<dot2>dot|punto)\s(?={_TOP}|[\w-]{{1,63}}{_SPELLED_DOTS})",
-    lambda m: [(m.start(), m.end(), "@" if m["at"] or m["at2"] else ".")],
+    rf"(?<!{_WORD}){_WORD}++(?:(?:{_ANY_MARK}){_WORD}++)+",
+    _disguised,
     lambda t: any(x in t for x in ("dot", "DOT", "Dot", "at]", "at)", "AT]", "AT)", "at}", "at>", "pun", "point", "arroba", "arobase", "ät")),
 )
 CHAIN = (GLYPHS, DIGITS, MARKS)

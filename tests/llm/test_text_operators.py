@@ -127,6 +127,30 @@ def test_clean_text_has_no_disguise():
         assert pii.spans_of(t) == ([], [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail jane at example dot ch now", "email", "jane at example dot ch"),
+        ("jane (at) example dot nl", "email", "jane (at) example dot nl"),
+        ("jane@example dot ca", "email", "jane@example dot ca"),
+        ("jane@mail dot example dot pl", "email", "jane@mail dot example dot pl"),
+        ("at 192 dot 168 dot 1 dot 1 now", "ip", "192 dot 168 dot 1 dot 1"),
+        ("+1 dot 555 dot 123 dot 4567", "phone", "+1 dot 555 dot 123 dot 4567"),
+        ("reach us at jane dot doe at example dot museum.", "email", "jane dot doe at example dot museum"),
+        ("jane at the dot example dot com", "email", "jane at the dot example dot com"),
+        ("jane at example [dot] pl", "email", "jane at example [dot] pl"),
+    ],
+)
+def test_bare_marks_by_shape(text, kind, found):
+    base, more = pii.spans_of(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [(kind, found)]
+
+
+def test_bare_marks_in_prose():
+    for t in ("look at the dot com boom", "look at red dot on the map", "we meet at 5 dot 30 pm", "dot dot dot at dot dot", "version 3 dot 5 at home"):
+        assert pii.spans_of(t) == ([], [])
+
+
 def test_rewriting_maps_back():
     rng = random.Random(3)
     for _ in range(300):
