@@ -125,6 +125,11 @@ _NAMES = {name: str(i) for names in DIGIT_NAMES.values() for i, name in enumerat
 _NAME = "(?:" + "|".join(sorted(_NAMES, key=len, reverse=True)) + ")"
 
 
+def _folded(text: str) -> str:
+    """Lower case, in which letters that a pattern without case takes for each other are the same."""
+    return text.lower() if text.isascii() else text.casefold().replace("ı", "i").replace("\u0307", "")
+
+
 class Transducer:
     """Replaces each match of ``pattern`` by what ``write`` says; None leaves it. needs: gives whether a text is worth the search."""
 
@@ -222,12 +227,21 @@ def _disguised(m: re.Match) -> list[tuple[int, int, str]]:
     return [(x.start(), x.end(), "@" if x["at"] or x["at2"] else ".") for x, k in zip(marks, keep, strict=True) if k]
 
 
+_BRACKETED_AT = re.compile(rf"{_OPEN}(?:at|ät|arroba|arobase)", re.IGNORECASE)
+
+
+def _marked(text: str) -> bool:
+    """Whether a mark may need rewriting: a bare "at" does only beside a dot in words."""
+    folded = _folded(text)
+    return any(x in folded for x in ("dot", "punkt", "point", "punto")) or bool(_BRACKETED_AT.search(text))
+
+
 GLYPHS = Transducer("[" + re.escape("".join(_GLYPHS)) + "]", lambda m: [(m.start(), m.end(), _GLYPHS.get(m[0], m[0]))], lambda t: not t.isascii() and not _GLYPH_SET.isdisjoint(t))
 DIGITS = Transducer(rf"(?<!\w)(?P<plus>plus\s|\+\s?)?{_NAME}(?:[\x20,.-]{{1,2}}{_NAME}){{3,}}(?!\w)", _spelled, _has_names)
 MARKS = Transducer(
     rf"(?<!{_WORD}){_WORD}++(?:(?:{_ANY_MARK}){_WORD}++)+",
     _disguised,
-    lambda t: any(x in t for x in ("dot", "DOT", "Dot", "at]", "at)", "AT]", "AT)", "at}", "at>", "pun", "point", "arroba", "arobase", "ät")),
+    _marked,
 )
 CHAIN = (GLYPHS, DIGITS, MARKS)
 

@@ -146,6 +146,22 @@ def test_bare_marks_by_shape(text, kind, found):
     assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text", ["jane ( at ) example.com", "jane (At) example.com", "jane {AT} example.com", "JANE [ AT ] EXAMPLE.COM", "jane (ARROBA) example.es", "jane <\tÄT> example.de", "jane at example PUNTO es", "jane@example (Poİnt) fr"])
+def test_marks_in_any_case(text):
+    base, more = pii.spans_of(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [("email", text)]
+
+
+def test_shortcuts_are_implied():
+    rng = random.Random(7)
+    parts = ["at", "ät", "arroba", "Arobase", "dot", "punkt", "poınt", "poİnt", "punto", "(", ")", "[ ", " ]", "{", "}", "<", ">", "\n", " ", " ", "a", "com", "1", "@", "."]
+    for _ in range(30000):
+        t = "".join(rng.choice([x, x.upper(), x.title()]) for x in (rng.choice(parts) for _ in range(rng.randint(1, 12))))
+        for link in pii.CHAIN:
+            if any(t[a:b] != new for m in link.pattern.finditer(t) for a, b, new in link.write(m) or ()):
+                assert link.needs(t), (t, link.pattern.pattern)
+
+
 def test_bare_marks_in_prose():
     for t in ("look at the dot com boom", "look at red dot on the map", "we meet at 5 dot 30 pm", "dot dot dot at dot dot", "version 3 dot 5 at home"):
         assert pii.spans_of(t) == ([], [])
