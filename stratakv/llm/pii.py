@@ -7,13 +7,15 @@ source characters that it stands for:
 
 * ``glyphs`` turns look-alikes and wide forms into ASCII and drops characters of
   no width;
-* ``digits`` turns runs of spelled digits into figures;
+* ``digits`` turns spelled digits next to others, figures or dots between them
+  into figures;
 * ``marks`` turns "(at)", "[dot]" and their kind into "@" and ".", and bare words
   "at" and "dot" where the whole looks like an address or figures with dots.
 
-The detectors run again on what the chain wrote, and the records of all links
-compose, so a span found there maps back to the source characters.  Texts in
-which no transducer finds anything to rewrite are not rewritten.
+The detectors run again on what each link wrote, and the records of all links
+compose, so a span found there maps back to the source characters.  A span that
+lies within another of its kind is left out.  Texts in which no transducer finds
+anything to rewrite are not rewritten.
 
 Cases: a null or empty text has no spans; a long text is scanned whole, in
 linear time; ties of start cannot occur within a kind; repeated rows are scanned
@@ -143,31 +145,9 @@ class Transducer:
         return [e for m in self.pattern.finditer(text) for e in self.write(m) or ()]
 
 
-def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """A run of names becomes figures, each standing for its name; what is between two names goes."""
-    out, last = [], None
-    if plus := m["plus"]:
-        out.append((m.start(), m.start() + len(plus), "+"))
-        last = m.start() + len(plus)
-    begin = m.start() + len(plus or "")
-    for x in re.finditer(_NAME, m[0][len(plus or "") :], re.IGNORECASE):
-        a, b = begin + x.start(), begin + x.end()
-        if last is not None and last < a:
-            out.append((last, a, ""))
-        out.append((a, b, _NAMES[x[0].lower()]))
-        last = b
-    return out
-
-
 _GLYPH_SET = frozenset(_GLYPHS)
 
 
-def _has_names(text: str) -> bool:
-    """Whether four names of digits stand in a row."""
-    words = text.lower().replace(",", " ").replace(".", " ").replace("-", " ").split()
-    return b"\1\1\1\1" in bytes(map(_NAMES.__contains__, words))
-
-
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _WORD = r"[\w.%+-]"
 _MARK = rf"\s?{_OPEN}(?:(?P<at>at|ät|arroba|arobase)|(?P<dot>dot|punkt|point|punto)){_CLOSE}\s?|\s(?:(?P<at2>at|arroba)|(?P<dot2>dot|punto)|(?P<dot3>punkt|point))\s|(?P<sign>@)"
@@ -227,6 +207,69 @@ def _disguised(m: re.Match) -> list[tuple[int, int, str]]:
     return [(x.start(), x.end(), "@" if x["at"] or x["at2"] else ".") for x, k in zip(marks, keep, strict=True) if k]
 
 
+_FIGURES = r"[0-9]++"
+_DOT_WORD = rf"\s?{_OPEN}(?:dot|punkt|point|punto){_CLOSE}\s?|\s(?:dot|punto|punkt|point)\s"
+_DOT_WORDS = frozenset(("dot", "punkt", "point", "punto"))
+_ITEM = rf"(?:{_NAME}|{_FIGURES})(?!\w)"
+_ITEMS_OF = re.compile(rf"(?<!\w){_ITEM}", re.IGNORECASE)
+
+
+def _is_octet(figures: str) -> bool:
+    return 0 < len(figures) <= 3 and int(figures) <= 255
+
+
+def _spelled(m: re.Match) -> list[tuple[int, int, str]] | None:
+    """In a run of names and figures, names become figures, each standing for its name.
+
+    What is between two names, or a name and a figure, goes, but dots stay: those in words always, and "."
+    where four octets are joined by it, or between a name and a figure.
+    """
+    text, begin = m.string, m.start() + len(m["plus"] or "")
+    items = [(x.start(), x.end(), _NAMES.get(_folded(x[0]))) for x in _ITEMS_OF.finditer(text, begin, m.end())]
+    if all(figure is None for _, _, figure in items):
+        return None
+    between = [text[x[1] : y[0]] for x, y in zip(items, items[1:])]
+    dots = [len(gap.strip()) > 1 and gap.strip(" .,-") != "" or gap.strip(" ") == "." for gap in between]
+    # Groups are what stands between dots; a dot before a blank alone ends a sentence, and the octets with it.
+    octets = [False] * len(between)
+    start = 0
+    for k in range(len(items)):
+        if k < len(between) and between[k] != ". ":
+            continue
+        ends = [i for i in range(start, k) if dots[i]]
+        if len(ends) == 3:
+            groups = [items[a : b + 1] for a, b in zip([start, *(e + 1 for e in ends)], [*ends, k], strict=True)]
+            if all(_is_octet("".join(figure or text[a:b] for a, b, figure in group)) for group in groups):
+                octets[start:k] = dots[start:k]
+        start = k + 1
+    out = [(m.start(), begin, "+")] if m["plus"] else []
+    for k, (a, b, figure) in enumerate(items):
+        if k:
+            last, gap = items[k - 1], between[k - 1]
+            bare = gap.strip(" .,-") == ""
+            if octets[k - 1]:
+                if bare and gap != ".":
+                    out.append((last[1], a, "."))
+            elif bare and not (gap == ". " and any(octets[max(k - 2, 0) : k + 1])) and (last[2] is not None and figure is not None or "." not in gap and (last[2] is not None or figure is not None)):
+                out.append((last[1], a, ""))
+        if figure is not None:
+            out.append((a, b, figure))
+    return out
+
+
+_WORDS = re.compile(r"\w+")
+
+
+def _has_names(text: str) -> bool:
+    """Whether a name of a digit stands next to another or a figure, but for what is between words and a dot in words."""
+    words = _WORDS.findall(_folded(text))
+    if _NAMES.keys().isdisjoint(words):
+        return False
+    rest = [w for w in words if w not in _DOT_WORDS]
+    digits = [w in _NAMES or w.isdecimal() for w in rest]
+    return any(x and y and (v in _NAMES or w in _NAMES) for x, y, v, w in zip(digits, digits[1:], rest, rest[1:]))
+
+
 _BRACKETED_AT = re.compile(rf"{_OPEN}(?:at|ät|arroba|arobase)", re.IGNORECASE)
 
 
@@ -237,7 +280,7 @@ def _marked(text: str) -> bool:
 
 
 GLYPHS = Transducer("[" + re.escape("".join(_GLYPHS)) + "]", lambda m: [(m.start(), m.end(), _GLYPHS.get(m[0], m[0]))], lambda t: not t.isascii() and not _GLYPH_SET.isdisjoint(t))
-DIGITS = Transducer(rf"(?<!\w)(?P<plus>plus\s|\+\s?)?{_NAME}(?:[\x20,.-]{{1,2}}{_NAME}){{3,}}(?!\w)", _spelled, _has_names)
+DIGITS = Transducer(rf"(?<!\w)(?P<plus>plus\s|\+\s?)?{_ITEM}(?:(?:{_DOT_WORD}|[\x20,.-]{{1,3}}){_ITEM})+", _spelled, _has_names)
 MARKS = Transducer(
     rf"(?<!{_WORD}){_WORD}++(?:(?:{_ANY_MARK}){_WORD}++)+",
     _disguised,
@@ -294,29 +337,44 @@ class Mapped:
         return self.src[k] + place - self.out[k]
 
 
-def normalised(text: str) -> Mapped | None:
-    """What the chain writes; None if it changes nothing."""
+def rewritten(text: str) -> Iterator[Mapped]:
+    """What the text is after each link of the chain that changes it: one object, rewritten further when the next is asked for."""
     mapped = None
     for transducer in CHAIN:
         edits = transducer.edits(mapped.text if mapped else text)
         if edits:
             mapped = mapped or Mapped(text)
             mapped.rewrite(edits)
+            yield mapped
+
+
+def normalised(text: str) -> Mapped | None:
+    """What the chain writes; None if it changes nothing."""
+    mapped = None
+    for mapped in rewritten(text):  # noqa: B007
+        pass
     return mapped
 
 
+def outermost(spans: set[Span]) -> list[Span]:
+    """The spans that lie within no other of their kind, by kind and start."""
+    out: list[Span] = []
+    for kind, start, end in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        if not out or out[-1][0] != kind or end > out[-1][2]:
+            out.append((kind, start, end))
+    return out
+
+
 def spans_of(text: str) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and those that only the rewritten text shows."""
+    """Plain spans, and those that only a rewritten text shows."""
     base = detect(text)
-    mapped = normalised(text)
-    if mapped is None:
+    found = set()
+    for mapped in rewritten(text):
+        found.update((kind, mapped.source(a, True), mapped.source(b, False)) for kind, a, b in detect(mapped.text))
+    if not found:
         return base, []
-    more = []
-    for kind, a, b in detect(mapped.text):
-        start, end = mapped.source(a, True), mapped.source(b, False)
-        if not any(k == kind and x <= start and end <= y for k, x, y in base):
-            more.append((kind, start, end))
-    return base, more
+    plain = set(base)
+    return base, [s for s in outermost(found | plain) if s not in plain]
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,disguised:boolean>>"

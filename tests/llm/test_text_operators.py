@@ -152,9 +152,36 @@ def test_marks_in_any_case(text):
     assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [("email", text)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host one.two.three.four. Two of", "ip", "one.two.three.four"),
+        ("host (one [dot] two [dot] three [dot] four)", "ip", "one [dot] two [dot] three [dot] four"),
+        ("192.168.zero.one", "ip", "192.168.zero.one"),
+        ("192 dot 168 dot one dot 1", "ip", "192 dot 168 dot one dot 1"),
+        ("call +1 five five five 123 four five six seven now", "phone", "+1 five five five 123 four five six seven"),
+        ("call +1 (five five five) 123-four five six seven now", "phone", "+1 (five five five) 123-four five six seven"),
+        ("call plus one five five five 1234567", "phone", "plus one five five five 1234567"),
+        ("4111 1111 one one one one 1111", "card", "4111 1111 one one one one 1111"),
+        ("four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one", "card", "four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one"),
+        ("one ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
+        ("+ one two three four five SİX ſeven eight nine", "phone", "+ one two three four five SİX ſeven eight nine"),
+    ],
+)
+def test_spelled_digits_in_groups(text, kind, found):
+    base, more = pii.spans_of(text)
+    assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [(kind, found)]
+
+
+def test_spelled_digits_in_prose():
+    for t in ("one.two.three", "one two three four five six", "in 2019, two of 5. Three more", "at one dot two", "three hundred. one. two. 300. four"):
+        assert pii.spans_of(t) == ([], [])
+
+
 def test_shortcuts_are_implied():
     rng = random.Random(7)
-    parts = ["at", "ät", "arroba", "Arobase", "dot", "punkt", "poınt", "poİnt", "punto", "(", ")", "[ ", " ]", "{", "}", "<", ">", "\n", " ", " ", "a", "com", "1", "@", "."]
+    parts = ["at", "ät", "arroba", "Arobase", "dot", "punkt", "poınt", "poİnt", "punto", "(", ")", "[ ", " ]", "{", "}", "<", ">", "\n", " ", " ", "a", "com", "1", "@", ".", "one", "sİx", "fünf", "+", ", "]
     for _ in range(30000):
         t = "".join(rng.choice([x, x.upper(), x.title()]) for x in (rng.choice(parts) for _ in range(rng.randint(1, 12))))
         for link in pii.CHAIN:
