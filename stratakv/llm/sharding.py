@@ -8,14 +8,16 @@ of each flow is granted as leaves every shard within its quota.  Rows without
 links fill what the quotas leave free, so the counts of any two shards differ by
 one at most (law ``rows``).
 
-A group of copies larger than ``1 / PARTS`` of a shard is dealt into chunks of
-about that size by a hash of its rows; each chunk then moves as one
-neighbourhood.  So no group outgrows a task or a shard, and a group is cut no
-more often than quotas require.
+A group of copies larger than ``1 / PARTS`` of a shard is placed before the
+others, the largest first: in the fullest shard that has room for all of it, or
+else as much of it as fits in the emptiest shard and the remainder like a group
+of its own.  Its rows stay there, so such a group is cut only where no shard has
+room for what is left of it, and the others move in what the quotas leave.
 
 Everything is done by DataFrame operations.  Flows are granted by hash buckets
-of neighbourhoods, so the driver sees shards x shards numbers; places within a
-shard come from bucket counts and a window over one small bucket each.
+of neighbourhoods, so the driver sees shards x shards numbers and the sizes of
+the large groups, about shards x PARTS at most; places within a shard or a large
+group come from bucket counts and a window over one small bucket each.
 
 Cases: a null text counts as empty; null ids and repeated rows are rows like
 others; ties of wishes fall by a hash; with fewer rows than shards some shards
@@ -25,6 +27,8 @@ doc_id and text are not carried.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +39,15 @@ ROUNDS = 5
 PARTS = 8
 BUCKETS = 256
 BUCKET_ROWS = 20_000
+GROUP_BUCKETS = 64
 
 
-def indexed(df: DataFrame, group: str, key: str, rows: int, into: str) -> DataFrame:
+def indexed(df: DataFrame, group: str, key: str, rows: int, into: str, buckets: int = 1) -> DataFrame:
     """A gapless number from 0 within each group, for rows with a unique ``key``: by hash bucket, then by key.
 
-    rows: about how many rows there are; a bucket holds about BUCKET_ROWS of them.
+    rows: about how many rows there are; a bucket holds about BUCKET_ROWS of them, or less. buckets: the least number of them.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(rows // BUCKET_ROWS + 1)))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(max(buckets, rows // BUCKET_ROWS + 1))))
     counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -61,14 +66,62 @@ def _described(docs: DataFrame) -> DataFrame:
     )
 
 
-def _neighbourhoods(rows: DataFrame, total: int, shards: int, parts: int) -> DataFrame:
-    """Each row's neighbourhood, a hash of its text and chunk; null for a row without links."""
-    most = max(2, total // (shards * parts))
-    # At most total / most groups, so shards x parts at most, are larger than a chunk; a group may be cut once more than needed, by the hash.
-    large = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most).select("digest", F.ceil(F.col("n") / most).cast("int").alias("chunks"))
-    dealt = rows.join(F.broadcast(large), "digest", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("row"), F.col("chunks")), F.lit(0)))
-    counts = dealt.groupBy("digest", "chunk").agg(F.count("*").alias("n")).where("n > 1")
-    return dealt.join(counts, ["digest", "chunk"], "left").select("doc_id", "row", "size", "text_crc32", F.when(F.col("n") > 1, F.xxhash64("digest", "chunk")).alias("hood"))
+def pieces(sizes: list[int], quota: list[int]) -> list[list[tuple[int, int]]]:
+    """(shard, rows) of the parts of each group: whole where a shard has room, else cut."""
+    room = list(quota)
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    todo = [(-n, i) for i, n in enumerate(sizes)]
+    heapq.heapify(todo)
+    while todo:
+        n, i = heapq.heappop(todo)
+        fits = [b for b, free in enumerate(room) if free >= -n]
+        b = min(fits, key=room.__getitem__) if fits else max(range(len(room)), key=room.__getitem__)
+        taken = min(-n, room[b])
+        room[b] -= taken
+        out[i].append((b, taken))
+        if taken < -n:
+            heapq.heappush(todo, (n + taken, i))
+    return out
+
+
+def _in_groups(large: list[tuple[bytes, int]]) -> str:
+    return f"digest IN ({', '.join(f"X'{digest.hex()}'" for digest, _ in large)})"
+
+
+def _anchored(rows: DataFrame, large: list[tuple[bytes, int]], parts: list[list[tuple[int, int]]]) -> DataFrame:
+    """The rows of large groups with their shards, in which they have the first slots."""
+    values, used = [], {}
+    for (digest, _), found in zip(large, parts, strict=True):
+        first = 0
+        for b, n in found:
+            values.append(f"(X'{digest.hex()}', {b}, {first}L, {first + n}L, {used.get(b, 0)}L)")
+            first, used[b] = first + n, used.get(b, 0) + n
+    ranges = F.broadcast(rows.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(values)} AS t(digest, shard, first, beyond, start)"))
+    own = rows.where(_in_groups(large))
+    nth = indexed(own, "digest", "row", sum(n for _, n in large), "nth", GROUP_BUCKETS)
+    found = nth.join(ranges, (nth.digest == ranges.digest) & (nth.nth >= ranges["first"]) & (nth.nth < ranges.beyond))
+    return found.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - F.col("first")).alias("slot"))
+
+
+def _neighbourhoods(rows: DataFrame) -> DataFrame:
+    """Each row's neighbourhood, a hash of its text; null for a row without links."""
+    counts = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(counts, "digest", "left").select("doc_id", "row", "size", "text_crc32", F.when(F.col("n") > 1, F.xxhash64("digest")).alias("hood"))
+
+
+def shares(rows: int, room: list[int]) -> list[int]:
+    """``rows`` dealt in proportion to ``room``, which is not exceeded."""
+    every = sum(room)
+    out = [rows * free // every if every else 0 for free in room]
+    for b in sorted(range(len(room)), key=lambda b: out[b] - room[b])[: rows - sum(out)]:
+        out[b] += 1
+    return out
+
+
+def _by_place(counts: list[int]) -> Column:
+    """The shard of each ``place`` if the first so many places are the first shard's, and so on."""
+    ends = [sum(counts[: b + 1]) for b in range(len(counts))]
+    return F.expr(f"size(filter(array({', '.join(f'{e}L' for e in ends)}), e -> e <= place))")
 
 
 def granted(wishes: list[list[int]], free: list[int]) -> list[list[int]]:
@@ -127,19 +180,26 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, parts: in
     described = stored(_described(docs), "described")
     total = described.count()
     quota = [total // shards + (b < total % shards) for b in range(shards)]
-    rows = stored(_neighbourhoods(described, total, shards, parts), "hoods")
+    most = max(2, total // (shards * parts))
+    large = sorted((bytes(r.digest), r.n) for r in described.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > most).collect())  # at most total / most
+    cut = pieces([n for _, n in large], quota)
+    n_large = sum(n for _, n in large)
+    room = list(quota)
+    for b, n in (x for found in cut for x in found):
+        room[b] -= n
+    rows = stored(_neighbourhoods(described.where(f"NOT {_in_groups(large)}") if large else described), "hoods")
     n_linked = rows.where("hood is not null").count()
-    linked = indexed(rows.where("hood is not null").withColumn("_all", F.lit(0)), "_all", "row", n_linked, "place").withColumn("shard", (F.col("place") % shards).cast("int")).drop("_all", "place")
+    linked = indexed(rows.where("hood is not null").withColumn("_all", F.lit(0)), "_all", "row", n_linked, "place").withColumn("shard", _by_place(shares(n_linked, room))).drop("_all", "place")
     for _ in range(rounds if n_linked else 0):
-        linked = _round(linked, quota, shards)
-    placed = stored(indexed(linked, "shard", "row", n_linked, "slot"), "linked").select("doc_id", "size", "text_crc32", "shard", "slot")
+        linked = _round(linked, room, shards)
+    before = F.expr(f"array({', '.join(f'{q - free}L' for q, free in zip(quota, room, strict=True))})[shard]")
+    placed = indexed(linked, "shard", "row", n_linked, "slot").select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + before).alias("slot"))
+    placed = stored(placed.unionByName(_anchored(described, large, cut)) if large else placed, "linked")
     held = dict.fromkeys(range(shards), 0) | {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
-    rest, ends = [q - held[b] for b, q in enumerate(quota)], []
-    for free in rest:
-        ends.append((ends[-1] if ends else 0) + free)
-    single = indexed(rows.where("hood is null").withColumn("_all", F.lit(0)), "_all", "row", total - n_linked, "place")
-    single = single.withColumn("shard", F.expr(f"size(filter(array({', '.join(f'{e}L' for e in ends)}), e -> e <= place))"))
-    first = F.expr(f"array({', '.join(f'{held[b] - (ends[b] - rest[b])}L' for b in range(shards))})[shard]")
+    rest = [q - held[b] for b, q in enumerate(quota)]
+    single = indexed(rows.where("hood is null").withColumn("_all", F.lit(0)), "_all", "row", total - n_linked - n_large, "place")
+    single = single.withColumn("shard", _by_place(rest))
+    first = F.expr(f"array({', '.join(f'{held[b] - sum(rest[:b])}L' for b in range(shards))})[shard]")
     return placed.unionByName(single.select("doc_id", "size", "text_crc32", "shard", (F.col("place") + first).alias("slot")))
 
 

@@ -293,6 +293,39 @@ def test_all_linked(spark):
     check_shards(sharding.shard(documents(spark, [(i, "one") for i in range(50)]), 4).collect(), 50, 4)
 
 
+def test_large_groups_stay_together(spark):
+    """Whole where a shard has room, else in as few shards as quotas allow."""
+    sizes = {"whole": 200, "two": 240, "cut": 610}
+    texts = [t for t, n in sizes.items() for _ in range(n)] + [f"pair {i // 2}" for i in range(300)] + [f"single {i}" for i in range(650)]
+    random.Random(6).shuffle(texts)
+    got = sharding.shard(documents(spark, list(enumerate(texts))), 8).collect()
+    check_shards(got, 2000, 8)
+    at = collections.defaultdict(collections.Counter)
+    for r in got:
+        at[texts[r.doc_id]][r.shard] += 1
+    assert {t: len(at[t]) for t in sizes} == {"whole": 1, "two": 1, "cut": 3}
+    pairs = [c for t, c in at.items() if t.startswith("pair")]
+    assert sum(len(c) == 1 for c in pairs) >= 0.97 * len(pairs)
+
+
+def test_pieces():
+    assert sharding.pieces([6, 6, 6], [10, 10]) == [[(0, 6)], [(1, 6)], [(0, 4), (1, 2)]]
+    assert sharding.pieces([25], [10, 10, 10]) == [[(0, 10), (1, 10), (2, 5)]]
+    rng = random.Random(2)
+    for _ in range(300):
+        quota = [rng.randint(0, 9) for _ in range(5)]
+        sizes, left = [], sum(quota)
+        while left:
+            sizes.append(rng.randint(1, min(left, 12)))
+            left -= sizes[-1]
+        got = sharding.pieces(sizes, quota)
+        assert [sum(n for _, n in x) for x in got] == sizes and all(n > 0 for x in got for _, n in x)
+        assert [sum(n for x in got for b, n in x if b == k) for k in range(5)] == quota
+        rows = rng.randint(0, sum(quota))
+        dealt = sharding.shares(rows, quota)
+        assert sum(dealt) == rows and all(0 <= a <= q for a, q in zip(dealt, quota))
+
+
 def test_grants_hold():
     rng = random.Random(1)
     for _ in range(200):
