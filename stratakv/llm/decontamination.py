@@ -11,8 +11,10 @@ hits are not.
 
 Tokens are runs of letters and digits, ASCII letters folded, so punctuation,
 case and line breaks do not matter.  Items of fewer than ``shortest`` tokens
-prove nothing and are not searched for; items shorter than a mask are looked up
-by one hash of all their tokens.
+prove nothing and are not searched for.  Items shorter than a mask are looked up
+by masks of their own length, which leave out the places of every choice of as
+many blocks of tokens as there may be differing tokens, so none that agrees
+enough is missed.
 
 The test side is read in blocks of at most about ``BLOCK_BYTES`` of text, by a
 hash of the item; each block's index is broadcast and met by one narrow pass
@@ -29,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,14 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int, similarity: float) -> list[str]:
+    """Masks for items of ``n`` tokens, one of which keeps no place that differs if at most 1 - ``similarity`` of them do."""
+    differ = n - int(np.ceil(similarity * n - 1e-9))
+    blocks = np.array_split(np.arange(n), max(differ + 1, n // 2))
+    left_out = [{p for block in chosen for p in block.tolist()} for chosen in combinations(blocks, differ)]
+    return ["".join("0" if p in out else "1" for p in range(n)) for out in left_out]
+
+
 @dataclass
 class Index:
     """Seeds of a block of items, by sorted hash; tokens of the items end to end."""
@@ -76,7 +87,7 @@ class Index:
         index = Index(ids, w.hashes, w.bounds, [], least, similarity)
         longest = max(map(len, masks))
         size = np.diff(w.bounds)
-        plans = [(m, longest, None) for m in masks] + [("1" * n, n, n) for n in range(shortest, longest)]
+        plans = [(m, longest, None) for m in masks] + [(m, n, n) for n in np.unique(size[(size >= max(shortest, 1)) & (size < longest)]).tolist() for m in short_masks(n, similarity)]
         for salt, (mask, low, high) in enumerate(plans):
             keys, items, places = [], [], []
             for i in np.flatnonzero((size >= low) & (size <= (high or size.max(initial=0)))).tolist():

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -315,6 +316,19 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, benchmark).collect()} == {(i, i) for i in range(len(items))}
 
 
+@pytest.mark.parametrize(("size", "differ"), [(8, 1), (9, 1), (10, 2)])
+def test_short_items_with_replaced_words(size, differ):
+    _, word, _ = passages(3)
+    item = [word() for _ in range(size)]
+    index = decontamination.Index.build([0], [" ".join(item)], decontamination.MASKS, decontamination.LEAST, decontamination.SIMILARITY, decontamination.SHORTEST)
+    index.prepare()
+    for n in range(differ + 2):
+        for places in itertools.combinations(range(size), n):
+            own = [word() if p in places else w for p, w in enumerate(item)]
+            w = _blocks.words(pa.array([" ".join([word(), word(), *own, word()])]), _blocks.ALNUM)
+            assert bool(list(index.overlaps(w))) == (n <= differ), places
+
+
 def test_half_a_passage_counts_and_chance_does_not():
     _, word, items = passages(2)
     index = decontamination.Index.build([0], [items[3]], decontamination.MASKS, 16, 0.8, 8)
