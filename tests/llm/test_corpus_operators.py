@@ -78,6 +78,13 @@ def test_join_equals_brute_force(spark, k, t, how):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, k, t)
 
 
+def test_join_beyond_its_switches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINKED", 1)
+    rows = near_copies(5)
+    got = jaccard.self_join(documents(spark, rows), lookup=1)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, 5, Fraction(4, 5))
+
+
 def test_join_at_the_edges(spark, edges, nothing):
     got = jaccard.self_join(edges, 4, Fraction(85, 100))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(EDGES, 4, Fraction(85, 100))
