@@ -374,6 +374,15 @@ def spans_of(text: str) -> tuple[list[Span], list[Span]]:
     if not found:
         return base, []
     plain = set(base)
+    # One name beside a whole number is prose ("+1 555 123 4567 un"): it adds nothing to a span found without it.
+    ends: dict[tuple, list[int]] = {}
+    for kind, start, end in found | plain:
+        ends.setdefault((kind, start, False), []).append(end)
+        ends.setdefault((kind, end, True), []).append(start)
+    for kind, start, end in list(found):
+        beyond = [text[b:end] for b in ends[kind, start, False] if b < end] + [text[start:a] for a in ends[kind, end, True] if a > start]
+        if any(_folded(x).strip(" .,-") in _NAMES for x in beyond):
+            found.discard((kind, start, end))
     return base, [s for s in outermost(found | plain) if s not in plain]
 
 

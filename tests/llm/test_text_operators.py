@@ -175,6 +175,12 @@ def test_spelled_digits_in_groups(text, kind, found):
     assert base == [] and [(pii.KINDS[k], text[a:b]) for k, a, b in more] == [(kind, found)]
 
 
+def test_one_name_beside_a_number_is_prose():
+    text = "tel. +1 (848) 555-1373 Un an"
+    base, more = pii.spans_of(text)
+    assert [text[a:b] for _, a, b in base] == ["+1 (848) 555-1373"] and more == []
+
+
 def test_spelled_digits_in_prose():
     for t in ("one.two.three", "one two three four five six", "in 2019, two of 5. Three more", "at one dot two", "three hundred. one. two. 300. four"):
         assert pii.spans_of(t) == ([], [])
