@@ -3,56 +3,59 @@
 Two texts link if the Jaccard similarity of their sets of k-word shingles
 reaches a threshold t.  Texts with equal sets form a class and are handled once.
 
-*Order.*  Shingles are ordered from rare to frequent.  Document frequencies are
-counted over all texts; those of the most frequent shingles, ``FREQUENT`` at
-most, are broadcast, and other shingles rank below them, by hash.  Any order
-gives right results, so the bound touches cost alone.
+*Order.*  Shingles are ordered from rare to frequent.  All of them are counted;
+the counts of the ``FREQUENT`` most frequent ones are broadcast, and others rank
+below them, by hash.  Any order gives right results, so the bound touches cost
+alone.
 
 *Prefixes.*  If x and y link, they share a = ceil(t / (1 + t) (|x| + |y|))
 shingles at least, and so, for every m, the first |x| - a + m of x and the first
 |y| - a + m of y share m.  A text's own m is chosen between 1 and
 ``MOST_MATCHES`` by the candidates it would cost, estimated from the
-frequencies in its prefix.
+frequencies in its prefix, and its prefix is lengthened accordingly.
 
-*Candidates.*  Prefixes for m = 1 are dealt by ranges of shingle hashes.  In a
-list of texts that share a prefix shingle, the most central one (the least of
-whose set is rarer than the shingle) meets all others first; verified pairs give
-first components.  Then all pairs of a list that lie in different components are
-proposed, if sizes and places within the prefixes leave a link possible.  So a
-large group of near copies costs a star, not all its pairs, and no link between
-components is lost.  Lists of shingles with more than ``LIST`` texts are dealt
-in blocks, each block with each.
+*Candidates.*  Prefixes are dealt by ranges of shingle hashes.  Each range counts
+how often two texts meet in prefixes lengthened for the smaller m of both; the
+counts of all ranges are added, and a pair is proposed if they reach that m.
+Nothing else of the texts has been fetched by then.
 
-*Matches.*  A proposed pair's prefixes are lengthened to the smaller m of both,
-and it is dropped unless they share as many shingles.
+First, the most central text of a list (the least of whose set is rarer than the
+shingle) meets all others; verified pairs give first components.  Then all pairs
+of a list that lie in different components are counted, if sizes and places
+within the prefixes leave a link possible.  So a large group of near copies
+costs a star, not all its pairs, and no link between components is lost.  Lists
+of shingles with more than ``LIST`` texts are dealt in blocks, each block with
+each; pairs are walked ``STEP`` at a time.
 
-*Verification* compares the whole sets.
+*Verification* compares the whole sets.  They are made again from the texts that
+pass a sieve of the proposed classes' ids, and joined exactly.
 
-A class is known by a 64-bit hash of its set and shingles by 64-bit hashes; at a
-billion different texts, two share a hash with a chance of 3 %.
+A class is known by 128 bits of hashes of its set, and shingles by 64 bits.
 
 Cases: a text of fewer than k words has its whole sequence as the only shingle;
-without words, or null, a text links with nothing and is its own component; rows
+without words, or null, a text links with nothing and is its own component; very
+long texts are taken whole, and take memory in proportion; rows
 that repeat an id are rows of one class or of two like any others, and a
 component's id is the smallest id in it; a null id is kept, and a component with
 no other id has a null id; ties of frequency fall by hash; columns other than
-doc_id and text are not carried.
+doc_id and text are not carried; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import mix, slices, windows, words
+from ._blocks import mix, slices, text_buffer, windows, words
 from ._packed import pack, runs, signed, unpack, unsigned
+from ._sieve import passes, rows_that_pass, sieve
 from ._store import stored, table, unused
 from .components import components
 
@@ -60,28 +63,29 @@ FREQUENT = 1 << 20
 MOST_MATCHES = 4
 LIST = 20_000
 RANGE_ROWS = 400_000
-LOOKUP = 1 << 21
-LINKED = 1 << 19
+STEP = 1 << 20
 _U = np.uint64
+_SEEDS = (_U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D))
 
 
-def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, end to end, and their bounds."""
+def set_hash(sets: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each set, whatever its order; 0 for the empty one."""
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _SEEDS[seed]), dtype=np.uint64)))
+    n = np.diff(bounds).astype(np.uint64)
+    return np.where(n > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + n * _U(0x9E3779B97F4A7C15)), _U(0))
+
+
+def shingle_sets(column: pa.Array, k: int, rank: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, end to end, their ranks, and their bounds; by rank, then by hash."""
     w = words(column)
     h, bounds = windows(w.hashes, w.bounds, k)
     rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, rows))
-    h = h[order]
+    often = rank(h) if rank else np.ones(len(h), np.int64)
+    order = np.lexsort((h, rows << 42 | often))
+    h, often = h[order], often[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
-    return h[new], np.searchsorted(rows[new], np.arange(len(bounds)))
-
-
-def set_hash(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each set; 0 for the empty one."""
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)))
-    n = np.diff(bounds).astype(np.uint64)
-    return np.where(n > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + n * _U(0x9E3779B97F4A7C15)), _U(0))
+    return h[new], often[new], np.searchsorted(rows[new], np.arange(len(bounds)))
 
 
 @dataclass(frozen=True)
@@ -106,13 +110,49 @@ class Threshold:
 # ---------------------------------------------------------------- frequencies
 
 
-def frequencies(texts: DataFrame, k: int, most: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, keys, counts): how many texts the most frequent shingles are in, by the first ``bits`` bits of their hashes; keys are sorted.
+@dataclass(frozen=True)
+class Frequencies:
+    """How often the most frequent shingles occur, by the first ``bits`` bits of their hashes; keys are sorted."""
+
+    bits: int
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def __post_init__(self):
+        coarse = np.zeros(1 << 22, bool)
+        coarse[(self.keys >> _U(self.bits - 22)).astype(np.int64)] = True
+        object.__setattr__(self, "coarse", coarse)
+
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """The frequencies as known, 1 for shingles that are not."""
+        often = np.ones(len(hashes), np.int64)
+        near = np.flatnonzero(self.coarse[(hashes >> _U(42)).astype(np.int64)])
+        if len(near):
+            own = hashes[near] >> _U(64 - self.bits)
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            same = self.keys[at] == own
+            often[near[same]] = self.counts[at[same]]
+        return often
+
+    def longer(self, n: int) -> Frequencies:
+        return Frequencies(self.bits, self.keys[self.counts > n], self.counts[self.counts > n])
+
+
+_STEPS = 8
 
-    All shingles of all texts are counted.  Bits follow the amount of text, so that few shingles share a key.
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts by eighths of an octave."""
+    return np.minimum(np.log2(counts) * _STEPS, 511).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, k: int, size: int, most: int = FREQUENT) -> Frequencies:
+    """All shingles of all texts are counted, in ranges of their hashes; ``most`` of them at most reach the driver.
+
+    A table of the counts by level gives the lowest level that keeps to that, over all ranges.  Bits follow
+    ``size``, the bytes of text, so that few shingles share a key.  A shingle counts as often as it stands there.
     """
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0].n
-    bits = min(64, max(24, size.bit_length() + 4))
+    bits = min(56, max(24, size.bit_length() + 1))
     ranges = max(1, size // 20_000_000)
     shift, per = _U(64 - bits), -(-(1 << bits) // ranges)
 
@@ -122,132 +162,207 @@ def frequencies(texts: DataFrame, k: int, most: int = FREQUENT) -> tuple[int, np
         def flush() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held))
             held.clear()
-            cut = np.searchsorted(keys, np.array([r * per for r in range(1, ranges)], np.uint64)) if ranges > 1 else []
-            parts = np.split(keys, cut)
-            return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([pack(p, True) for p in parts], pa.binary())], ["part", "keys"])
+            cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) * _U(per)) if ranges > 1 else np.array([0, len(keys)])
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(keys[cut[r] : cut[r + 1]], True) for r in full], pa.binary())], ["part", "keys"])
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                held.append(shingle_sets(piece.column(0), k)[0] >> shift)
-                if sum(map(len, held)) > 6_000_000:
+                w = words(piece.column(0))
+                held.append(windows(w.hashes, w.bounds, k)[0] >> shift)
+                if sum(map(len, held)) > 8_000_000:
                     yield flush()
         if held:
             yield flush()
 
-    top = -(-most // ranges)
-
     def count(rows: pa.Table) -> pa.Table:
         keys = np.sort(np.concatenate([unpack(x) for x in rows.column("keys").to_pylist()]))
         bounds = runs(keys)
         n = np.diff(bounds)
         found = np.flatnonzero(n >= 3)
-        if len(found) > top:
-            found = found[np.argpartition(-n[found], top)[:top]]
-        found = np.sort(found)
-        return pa.table({"keys": pa.array([pack(keys[bounds[found]], True)], pa.binary()), "counts": pa.array([pack(n[found])], pa.binary())})
-
-    got = texts.select("text").mapInArrow(emit, "part int, keys binary").groupBy("part").applyInArrow(count, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["keys"]) for r in got)])
-    counts = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["counts"]) for r in got)]).astype(np.int64)
+        levels = np.bincount(_level(n[found]), minlength=512)
+        return pa.table({"keys": pa.array([pack(keys[bounds[found]], True)], pa.binary()), "counts": pa.array([pack(n[found])], pa.binary()), "levels": pa.array([levels.tolist()], pa.list_(pa.int64()))})
+
+    counted = stored(texts.select("text").mapInArrow(emit, "part int, keys binary").groupBy("part").applyInArrow(count, "keys binary, counts binary, levels array<long>"), "frequencies")
+    levels = np.zeros(512, np.int64)
+    for row in counted.select(F.posexplode("levels")).where("col > 0").groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        levels[row.pos] = row.n
+    least = 511 - int((np.cumsum(levels[::-1]) <= most).sum()) + 1
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c = unpack(b)
+                kept = _level(c) >= least if len(c) else np.zeros(0, bool)
+                keys.append(unpack(a)[kept]), counts.append(c[kept])
+        if sum(map(len, keys)):
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(keys).tobytes()]), pa.array([np.concatenate(counts).tobytes()])], ["keys", "counts"])
+
+    got = counted.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in got)])
+    counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["counts"], np.uint64) for r in got)]).astype(np.int64)
     order = np.argsort(keys)
-    return bits, keys[order], counts[order]
+    return Frequencies(bits, keys[order], counts[order])
 
 
 # -------------------------------------------------------------------- prefixes
 
 
-def matches_asked(counts: np.ndarray, size: int, limit: Threshold, most: int) -> int:
-    """The m of a text by the frequencies of its shingles in order: lists cost a step for each text in them, candidates ``verify`` steps.
+def matches_asked(often: np.ndarray, bounds: np.ndarray, limit: Threshold, most: int) -> np.ndarray:
+    """The m of each text by the frequencies of its shingles in order: lists cost a step for each text in them, candidates ``verify`` steps.
 
     A candidate is in m lists, so the lists' sum over m bounds the number of candidates.
     """
-    verify, need = 50, int(limit.least(size))
-    best, choice = None, 1
-    for m in range(1, min(most, need) + 1):
-        lists = int(np.sum(counts[: size - need + m] - 1))
-        cost = lists + verify * lists / m + (size - need + m)
-        if best is None or cost < best:
-            best, choice = cost, m
+    verify, size = 50, np.diff(bounds)
+    need = limit.least(size)
+    total = np.concatenate(([0], np.cumsum(often - 1)))
+    best, choice = np.full(len(size), np.inf), np.ones(len(size), np.int64)
+    for m in range(1, most + 1):
+        length = np.minimum(size - need + m, size)
+        lists = total[bounds[:-1] + length] - total[bounds[:-1]]
+        cost = lists + verify * lists / m + length
+        better = (m <= need) & (cost < best)
+        best[better], choice[better] = cost[better], m
     return choice
 
 
-ROWS = "doc_id long, n long, node long, prefix binary"
-
-
-def _ordered(sets: np.ndarray, bounds: np.ndarray, frequent: tuple[int, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each set from rare to frequent, and the frequencies as known (1 for those that are not)."""
-    bits, keys, counts = frequent
-    often = np.ones(len(sets), np.int64)
-    if len(keys):
-        own = sets >> _U(64 - bits)
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        same = keys[at] == own
-        often[same] = counts[at[same]]
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((sets, often, rows))
-    return sets[order], often[order]
+def key_bits(size: int) -> int:
+    """Bits of a shingle's hash that prefixes keep, whole bytes; shingles that share them only add candidates."""
+    return -(-min(56, max(40, size.bit_length() + 10)) // 8) * 8
 
 
-def _prefixes(docs: DataFrame, k: int, limit: Threshold, frequent) -> DataFrame:
-    """One row for each text: its set's size and hash, and its prefix for one match, in order. frequent: a broadcast of ``frequencies``."""
+def _prefixes(texts: DataFrame, k: int, limit: Threshold, most: int, frequent: Broadcast, bits: int) -> DataFrame:
+    """One row for each text: its set's size and hashes, its m, and its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets, bounds = shingle_sets(part.column(1), k)
-                ordered, _ = _ordered(sets, bounds, frequent.value)
+                sets, often, bounds = shingle_sets(part.column(1), k, frequent.value.rank)
                 n = np.diff(bounds)
-                length = np.where(n > 0, n - limit.least(n) + 1, 0)
-                prefixes = [ordered[a : a + m].tobytes() for a, m in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(signed(set_hash(sets, bounds)), pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "node", "prefix"])
+                m = matches_asked(often, bounds, limit, most)
+                length = np.where(n > 0, n - limit.least(n) + m, 0)
+                raw = np.ascontiguousarray((sets >> _U(64 - bits)).view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+                width = bits // 8
+                prefixes = [raw[a * width : (a + p) * width] for a, p in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
+                hashes = [pa.array(signed(set_hash(sets, bounds, seed)), pa.int64()) for seed in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *hashes, pa.array(m, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "digest", "n", "hash", "proof", "matches", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return texts.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, n long, hash long, proof long, matches int, prefix binary")
 
 
 # ------------------------------------------------------------------ candidates
 
 
-def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np.ndarray, int], work) -> DataFrame:
-    """Deals the prefixes of (node, component, n, prefix) by ranges of shingle hashes and calls ``work`` on each range.
+@dataclass
+class Lists:
+    """Places of texts in lists, sorted by list. at: the shingle's place in its set; side: 2, or 0 and 1 where only sides that differ meet."""
+
+    node: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    matches: np.ndarray
+    at: np.ndarray
+    side: np.ndarray
+    bounds: np.ndarray
+
+    def possible(self, limit: Threshold, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether places i and j lie in the prefixes in which linking sets share the smaller m, and that m."""
+        need = np.minimum(self.matches[i], self.matches[j])
+        least = limit.overlap(self.n[i], self.n[j])
+        ok = (np.minimum(self.n[i], self.n[j]) >= least) & (self.at[i] < self.n[i] - least + need) & (self.at[j] < self.n[j] - least + need)
+        return ok & ((self.side[i] != self.side[j]) | (self.side[i] == 2)), need
+
+
+def stars(lists: Lists, limit: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the most central text of each list, and of all others."""
+    length = np.diff(lists.bounds)
+    which = np.repeat(np.arange(len(length)), length)
+    # The smallest share of its set before the shingle, then the smallest id.
+    order = np.lexsort((lists.node, lists.at / lists.n, which))
+    hub = order[lists.bounds[:-1]][which] if len(which) else order
+    for lo in range(0, len(which), STEP):
+        i = np.arange(lo, min(lo + STEP, len(which)))
+        other = lists.node[i] != lists.node[hub[i]]
+        yield i[other], hub[i][other]
+
+
+def across(lists: Lists, limit: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of each list in different components whose sizes suit."""
+    up, down = limit.t.numerator, limit.t.denominator
+    for a, b in zip(lists.bounds[:-1].tolist(), lists.bounds[1:].tolist(), strict=True):
+        if b - a < 2 or (lists.component[a:b] == lists.component[a]).all():
+            continue
+        n = lists.n[a:b]
+        # The largest partner that a text's place allows; texts that no size in the list suits are left out.
+        reach = (n - lists.at[a:b] + lists.matches[a:b] - 1) * (up + down) // up - n
+        alive = np.flatnonzero(reach >= np.maximum(limit.least(n), n.min()))
+        alive = a + alive[np.argsort(n[alive], kind="stable")]
+        size = lists.n[alive]
+        width = np.searchsorted(size, size * down // up, "right") - np.arange(len(alive)) - 1
+        ends = np.concatenate(([0], np.cumsum(width)))
+        lo = 0
+        while lo < len(alive):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
+            i = np.repeat(np.arange(lo, hi), width[lo:hi])
+            j = i + 1 + np.arange(int(ends[hi] - ends[lo])) - np.repeat(ends[lo:hi] - ends[lo], width[lo:hi])
+            i, j = alive[i], alive[j]
+            apart = lists.component[i] != lists.component[j]
+            yield i[apart], j[apart]
+            lo = hi
+
+
+def count_pairs(a: np.ndarray, b: np.ndarray, count: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs, sorted, with the sum of their counts."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    first = np.ones(len(low), bool)
+    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    begins = np.flatnonzero(first)
+    return low[begins], high[begins], np.add.reduceat(count[order], begins) if len(begins) else count, need[order][begins]
+
+
+def proposals(classes: DataFrame, total: int, limit: Threshold, bits: int, long_lists: Frequencies, longest: int, walk: Callable) -> DataFrame:
+    """Pairs (a, b) of classes (node, component, n, matches, prefix) that ``walk`` meets often enough for the smaller m of both.
 
-    ``work`` gets columns sorted by key, and the bounds of equal keys.  Long lists come in blocks, each block with each.
+    Ranges of shingle hashes count the pairs that they meet, and pass them on by a hash of the pair, where the counts are added.
     """
     ranges = max(1, total // RANGE_ROWS)
-    bits = min(62, max(32, total.bit_length() + 14))
-    shift = _U(64 - bits)
+    parts = max(16, ranges // 16)
     hot = classes.sparkSession.sparkContext.broadcast(long_lists)
+    names = ["key", "node", "comp", "n", "matches", "at", "side"]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            key, node, comp, n, at = (np.concatenate([h[i] for h in held]) for i in range(5))
+            columns = [np.concatenate([h[i] for h in held]) for i in range(len(names))]
             held.clear()
+            key = columns[0]
             part = (key * _U(0x9E3779B97F4A7C15) >> _U(33)) % _U(ranges)
             order = np.lexsort((key, part))
             cuts = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
-            ids, blobs = [], []
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                o = order[cuts[r] : cuts[r + 1]]
-                ids.append(r)
-                blobs.append([pack(key[o], True), pack(node[o]), pack(comp[o] ^ node[o]), pack(n[o]), pack(at[o])])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array([b[i] for b in blobs], pa.binary()) for i in range(5))], ["part", "key", "node", "comp", "n", "at"])
+            columns = [c[order] for c in columns]
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [[pack(c[cuts[r] : cuts[r + 1]], i == 0) for r in full] for i, c in enumerate(columns)]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", *names])
 
         size = 0
         for batch in batches:
             node, comp = unsigned(batch.column(0).to_numpy()), unsigned(batch.column(1).to_numpy())
-            n = batch.column(2).to_numpy()
-            flat = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-            length = np.array([len(x) for x in flat], np.int64)
+            n, matches = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            raw, offsets = text_buffer(batch.column(4))
+            length = np.diff(offsets) // (bits // 8)
             if not length.sum():
                 continue
-            whole = np.concatenate(flat)
-            row = np.repeat(np.arange(len(flat)), length)
-            at = np.arange(len(whole)) - np.repeat(np.cumsum(length) - length, length)
-            key = whole >> shift
-            if len(hot.value[1]):
-                key, row, at = _blocked(key, whole, row, at, node, *hot.value)
-            held.append((key, node[row], comp[row], n[row], at))
+            wide = np.zeros((len(raw) // (bits // 8), 8), np.uint8)
+            wide[:, : bits // 8] = raw.reshape(-1, bits // 8)
+            key = wide.view(np.uint64).reshape(-1)
+            row = np.repeat(np.arange(len(length)), length)
+            at = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
+            key, row, at, side = blocked(key, row, at, node, bits, hot.value, longest)
+            held.append((key, node[row], comp[row] ^ node[row], n[row], matches[row], at, side))
             size += len(key)
             if size > 3_000_000:
                 yield flush()
@@ -255,261 +370,185 @@ def _lists(classes: DataFrame, total: int, long_lists: tuple[int, np.ndarray, np
         if held:
             yield flush()
 
-    def run(rows: pa.Table) -> pa.Table:
-        columns = [np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("key", "node", "comp", "n", "at")]
+    def meet(rows: pa.Table) -> pa.Table:
+        columns = [np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in names]
         order = np.argsort(columns[0], kind="stable")
-        key, node, comp, n, at = (c[order] for c in columns)
-        return work(node, comp ^ node, n.astype(np.int64), at.astype(np.int64), runs(key))
-
-    return classes.select("node", "component", "n", "prefix").mapInArrow(emit, "part int, key binary, node binary, comp binary, n binary, at binary").groupBy("part").applyInArrow(run, PAIRS)
-
-
-def _blocked(key: np.ndarray, whole: np.ndarray, row: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int, keys: np.ndarray, counts: np.ndarray, most: int):
-    """Gives each place in a list of more than ``most`` texts a key for each pair of blocks that its text's block is in."""
-    own = whole >> _U(64 - bits)
-    k = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    hit = np.flatnonzero(keys[k] == own)
+        key, node, comp, n, matches, at, side = (c[order] for c in columns)
+        lists = Lists(node, comp ^ node, *(c.astype(np.int64) for c in (n, matches, at, side)), runs(key))
+        met: list[tuple[np.ndarray, ...]] = []
+        made: list[tuple[int, list[bytes]]] = []
+
+        def merge(out: bool) -> None:
+            low, high, count, need = count_pairs(*(np.concatenate([x[i] for x in met]) for i in range(4)))
+            met.clear()
+            if not out and len(low) <= 2 * STEP:
+                met.append((low, high, count, need))
+                return
+            part = (mix(low * _U(3) ^ mix(high)) % _U(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[by], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                o = by[cuts[p] : cuts[p + 1]]
+                made.append((p, [pack(low[o], True), pack(high[o]), pack(count[o]), pack(need[o])]))
+
+        for i, j in walk(lists, limit):
+            ok, need = lists.possible(limit, i, j)
+            met.append((node[i[ok]], node[j[ok]], np.ones(int(ok.sum()), np.int64), need[ok]))
+            if sum(len(x[0]) for x in met) > 4 * STEP:
+                merge(False)
+        if met:
+            merge(True)
+        return pa.table([pa.array([p for p, _ in made], pa.int32()), *(pa.array([b[i] for _, b in made], pa.binary()) for i in range(4))], ["part", "a", "b", "count", "need"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        low, high, count, need = count_pairs(*(np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]) for c in ("a", "b", "count", "need")))
+        enough = count >= need
+        return pa.table({"a": pa.array(signed(low[enough]), pa.int64()), "b": pa.array(signed(high[enough]), pa.int64())})
+
+    dealt = classes.select("node", "component", "n", "matches", "prefix").mapInArrow(deal, "part int, " + ", ".join(f"{c} binary" for c in names))
+    counted = dealt.groupBy("part").applyInArrow(meet, "part int, a binary, b binary, count binary, need binary")
+    return counted.groupBy("part").applyInArrow(add, "a long, b long")
+
+
+def blocked(key: np.ndarray, row: np.ndarray, at: np.ndarray, node: np.ndarray, bits: int, long_lists: Frequencies, longest: int):
+    """Gives each place in a list of more than ``longest`` texts a key for each pair of blocks that its text's block is in, and its side."""
+    own = key >> _U(bits - long_lists.bits) if len(long_lists.keys) else key
+    k = np.minimum(np.searchsorted(long_lists.keys, own), max(0, len(long_lists.keys) - 1))
+    hit = np.flatnonzero(long_lists.keys[k] == own) if len(long_lists.keys) else np.zeros(0, np.int64)
+    whole = np.full(len(key), 2, np.int64)
     if not len(hit):
-        return key, row, at
-    blocks = -(-counts[k[hit]] // most)
+        return key, row, at, whole
+    blocks = -(-long_lists.counts[k[hit]] // longest)
     mine = (mix(node[row[hit]]) % blocks.astype(np.uint64)).astype(np.int64)
     copy = np.repeat(np.arange(len(hit)), blocks)
     other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    low, high = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
-    pair = (low * (1 << 20) + high).astype(np.uint64)
-    new = (mix(key[hit][copy] ^ mix(pair + _U(1))) >> _U(2))
+    own = mine[copy]
+    pair = (np.minimum(own, other) * (1 << 20) + np.maximum(own, other)).astype(np.uint64)
+    new = mix(key[hit][copy] ^ mix(pair + _U(1))) >> _U(64 - bits)
+    side = np.where(own == other, 2, own > other)
     rest = np.ones(len(key), bool)
     rest[hit] = False
-    return np.concatenate((key[rest], new)), np.concatenate((row[rest], row[hit][copy])), np.concatenate((at[rest], at[hit][copy]))
-
+    return np.concatenate((key[rest], new)), np.concatenate((row[rest], row[hit][copy])), np.concatenate((at[rest], at[hit][copy])), np.concatenate((whole[rest], side))
 
-PAIRS = "a long, b long"
 
-
-def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Distinct pairs."""
-    low, high = np.minimum(signed(a), signed(b)), np.maximum(signed(a), signed(b))
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    first = np.ones(len(low), bool)
-    first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return pa.table({"a": pa.array(low[first], pa.int64()), "b": pa.array(high[first], pa.int64())})
-
-
-def _possible(limit: Threshold, n1, at1, n2, at2):
-    """Whether places at1 and at2 of a shared shingle lie in the prefixes that linking sets of n1 and n2 must share a shingle in."""
-    least = limit.overlap(n1, n2)
-    return (np.minimum(n1, n2) >= least) & (at1 <= n1 - least) & (at2 <= n2 - least)
-
-
-def _stars(limit: Threshold):
-    def work(node, comp, n, at, bounds):
-        length = np.diff(bounds)
-        several = np.flatnonzero(length > 1)
-        which = np.repeat(np.arange(len(length)), length)
-        # The most central text of each list: the smallest share of its set before the shingle, then the smallest hash.
-        order = np.lexsort((node, at / n, which))
-        hub = order[bounds[:-1]]
-        mine = hub[which]
-        keep = np.isin(which, several) & (node != node[mine])
-        keep &= _possible(limit, n, at, n[mine], at[mine])
-        return _pair_table(node[keep], node[mine][keep])
-
-    return work
-
-
-def _across(limit: Threshold):
-    def work(node, comp, n, at, bounds):
-        left, right = [], []
-        length = np.diff(bounds)
-        which = np.repeat(np.arange(len(length)), length)
-        order = np.lexsort((n, which))  # by size within a list
-        node, comp, n, at = node[order], comp[order], n[order], at[order]
-        for k in np.flatnonzero(length > 1).tolist():
-            a, b = int(bounds[k]), int(bounds[k + 1])
-            if (comp[a:b] == comp[a]).all():
-                continue
-            # The largest partner that a text's place allows; texts that no size in the list suits are left out.
-            reach = (n[a:b] - at[a:b]) * (limit.t.numerator + limit.t.denominator) // limit.t.numerator - n[a:b]
-            alive = a + np.flatnonzero(reach >= np.maximum(limit.least(n[a:b]), n[a]))
-            if len(alive) < 2:
-                continue
-            size = n[alive]
-            end = np.searchsorted(size, size * limit.t.denominator // limit.t.numerator, "right")
-            for lo in range(0, len(alive), 512):
-                rows = np.arange(lo, min(lo + 512, len(alive)))
-                width = end[rows] - rows - 1
-                i = np.repeat(rows, width)
-                j = i + 1 + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-                i, j = alive[i], alive[j]
-                ok = (comp[i] != comp[j]) & _possible(limit, n[i], at[i], n[j], at[j])
-                left.append(i[ok]), right.append(j[ok])
-        i = np.concatenate(left) if left else np.zeros(0, np.int64)
-        j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return _pair_table(node[i], node[j])
-
-    return work
+# ---------------------------------------------------------------- verification
 
 
-# ---------------------------------------------------------------- verification
+def _id_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(-1).cast("long")), F.col(column).isNull())
 
 
-def _sets(docs: DataFrame, k: int, limit: Threshold, most: int, frequent, wanted: DataFrame, lookup: int) -> DataFrame:
-    """(node, matches, items) of the classes in ``wanted`` (node, first_id): a text's m and its set in order.
+def _linked(texts: DataFrame, k: int, limit: Threshold, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link.
 
-    Up to ``lookup`` wanted classes are looked up while the texts are read; more are joined afterwards.
+    The sets come from texts whose id passes the sieve of the classes' first ids; a join by the sets' hashes leaves out the rest.
     """
-    few = wanted.limit(lookup + 1).count() <= lookup
-    held = None
-    if few:
-        got = wanted.toArrow()
-        node, first = got.column("node").to_numpy(), got.column("first_id")
-        order = np.argsort(node)
-        held = docs.sparkSession.sparkContext.broadcast((node[order], first.is_null().to_numpy(zero_copy_only=False)[order], first.fill_null(0).to_numpy()[order]))
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(nodes.join(classes.select("node", "hash", "proof", "first_id"), "node"), "wanted")
+    held = sieve(wanted.select(_id_hash("first_id")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(passes(held.value, batch.column(1).to_numpy())))
             for part in slices(batch, "text"):
-                sets, bounds = shingle_sets(part.column(1), k)
-                node = signed(set_hash(sets, bounds))
-                keep = np.diff(bounds) > 0
-                if held:
-                    nodes, anyone, firsts = held.value
-                    if not len(nodes):
-                        return
-                    at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
-                    ids = part.column(0)
-                    same = (ids.fill_null(0).to_numpy() == firsts[at]) & ~ids.is_null().to_numpy(zero_copy_only=False)
-                    keep &= (nodes[at] == node) & (same | anyone[at])
-                rows = [r for r in np.flatnonzero(keep).tolist() if not (int(node[r]) in sent or len(sent) < 100_000 and sent.add(int(node[r])))]
-                if not rows:
-                    continue
-                chosen = np.concatenate([sets[bounds[r] : bounds[r + 1]] for r in rows])
-                ends = np.concatenate(([0], np.cumsum([bounds[r + 1] - bounds[r] for r in rows])))
-                ordered, often = _ordered(chosen, ends, frequent.value)
-                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                matches = [matches_asked(often[a:b], b - a, limit, most) for a, b in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), pa.array(matches, pa.int32()), pa.array([ordered[a:b].tobytes() for a, b in spans], pa.binary())], ["node", "matches", "items"])
-
-    made = docs.select("doc_id", "text").mapInArrow(run, "node long, matches int, items binary")
-    made = stored(made if few else made.join(wanted.select("node"), "node", "left_semi"), "sets")
-    if made.select("node").distinct().count() == made.count():
-        return made
-    # Rows that repeat an id and a set, met by several tasks.
-    return stored(made.groupBy("node").agg(F.max("matches").alias("matches"), F.max("items").alias("items")), "sets")
-
-
-def _linked(docs: DataFrame, k: int, limit: Threshold, most: int, frequent, pairs: DataFrame, classes: DataFrame, lookup: int) -> DataFrame:
-    """Those of the pairs (a, b) that link: prefixes lengthened to the smaller m share m shingles, and then the sets are alike."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, k, limit, most, frequent, stored(nodes.join(classes.select("node", "first_id"), "node"), "wanted"), lookup)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sets, _, bounds = shingle_sets(part.column(0), k)
+                one, two = (signed(set_hash(sets, bounds, seed)) for seed in (0, 1))
+                rows = []
+                for r in np.flatnonzero(np.diff(bounds)).tolist():
+                    mark = (int(one[r]), int(two[r]))
+                    if mark not in sent:
+                        rows.append(r)
+                        if len(sent) < 100_000:
+                            sent.add(mark)
+                yield pa.RecordBatch.from_arrays([pa.array(one[rows], pa.int64()), pa.array(two[rows], pa.int64()), pa.array([pack(sets[bounds[r] : bounds[r + 1]], True) for r in rows], pa.binary())], ["hash", "proof", "items"])
+
+    sets = stored(texts.select("text", _id_hash("doc_id").alias("by")).mapInArrow(make, "hash long, proof long, items binary"), "sets")
+    if sets.select("hash", "proof").distinct().count() < sets.count():
+        # Rows that repeat an id and a set, met by several tasks.
+        sets = stored(sets.groupBy("hash", "proof").agg(F.max("items").alias("items")), "sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, p = None, None
         for batch in batches:
             keep = []
-            for x, mx, y, my in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
-                p, q, m = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), min(mx, my)
-                least = int(limit.overlap(len(p), len(q)))
-                ok = min(len(p), len(q)) >= least and len(np.intersect1d(p[: len(p) - least + m], q[: len(q) - least + m], True)) >= m
-                keep.append(ok and bool(limit.links(len(np.intersect1d(p, q, True)), len(p), len(q))))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                if x != last:
+                    last, p = x, unpack(x)
+                q = unpack(y)
+                keep.append(bool(limit.links(len(np.intersect1d(p, q, True)), len(p), len(q))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x"), F.col("matches").alias("mx")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y"), F.col("matches").alias("my")), "b")
-    return both.select("a", "b", "x", "mx", "y", "my").mapInArrow(run, "a long, b long")
+    def with_set(df: DataFrame, side: str, name: str) -> DataFrame:
+        of = wanted.select(F.col("node").alias(side), F.col("hash").alias("h"), F.col("proof").alias("p"))
+        return df.join(of, side).join(sets.select(F.col("hash").alias("h"), F.col("proof").alias("p"), F.col("items").alias(name)), ["h", "p"]).drop("h", "p")
+
+    return with_set(with_set(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 # ------------------------------------------------------------------- the join
 
 
-def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: int = MOST_MATCHES, longest: int = LIST, lookup: int = LOOKUP) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set; 0 for none), component (its smallest class) and component_id of each row."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
+
+
+def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: int = MOST_MATCHES, longest: int = LIST) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text), n_shingles, component (its smallest class; null for texts without words) and component_id of each row."""
     limit = Threshold(Fraction(t))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = frequencies(texts, k)
+    texts = _texts(docs)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0].n
+    counted, bits = frequencies(texts, k, size), key_bits(size)
     frequent = docs.sparkSession.sparkContext.broadcast(counted)
-    large = counted[2] > longest
-    long_lists = (counted[0], counted[1][large], counted[2][large], longest)
-    rows = stored(_prefixes(texts, k, limit, frequent), "prefixes")
+    rows = stored(_prefixes(texts, k, limit, most, frequent, bits), "prefixes")
     full = rows.where("n > 0")
-    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.max("prefix").alias("prefix")), "classes")
-    total = int(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).collect()[0].n) // 8
-    first = _lists(classes.withColumn("component", F.col("node")), total, long_lists, _stars(limit))
-    links = stored(_linked(texts, k, limit, most, frequent, stored(first.distinct(), "stars"), classes, lookup), "links")
+    classes = full.groupBy("hash", "proof").agg(F.min("doc_id").alias("first_id"), *(F.max(c).alias(c) for c in ("n", "matches", "prefix")))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    total = int(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).collect()[0].n) // (bits // 8)
+    of = (total, limit, bits, counted.longer(longest), longest)
+    first = stored(proposals(classes.withColumn("component", F.col("node")), *of, stars), "stars")
+    links = stored(_linked(texts, k, limit, first, classes), "links")
     found = components(links)
-    # Most texts link with nothing: while the linked ones are few, prefixes need not move to meet them.
-    few = F.broadcast(found) if found.limit(LINKED + 1).count() <= LINKED else found
-    known = classes.join(few, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = _lists(known, total, long_lists, _across(limit))
-    more = stored(_linked(texts, k, limit, most, frequent, stored(across.distinct(), "across"), classes, lookup), "links")
+    known = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    second = stored(proposals(known, *of, across), "across")
+    more = stored(_linked(texts, k, limit, second, classes), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))
-    of_class = classes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_class = classes.select("node", "hash", "proof", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = stored(of_class.join(smallest, "component").select("node", "component", "component_id"), "class_components")
-    out = full.select("doc_id", "n", "node").join(of_class, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), "component", "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class"), F.lit(0).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+    of_class = stored(of_class.join(smallest, "component").select("hash", "proof", "component", "component_id"), "class_components")
+    out = full.select("doc_id", "digest", F.col("n").alias("n_shingles"), "hash", "proof").join(of_class, ["hash", "proof"]).drop("hash", "proof")
+    return out.unionAll(rows.where("n = 0").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), lookup: int = LOOKUP) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component, with their columns as they were.
 
     One row stays of those that repeat an id and a set, and of a component
-    without ids; texts without words all stay.  Rows that go are looked up by
-    id and class while the texts are read if there are ``lookup`` at most, and
-    joined otherwise.
+    without ids; texts without words all stay.  Rows are known again by id and
+    digest; only those that pass the sieve of the rows to look up are joined.
     """
-    joined = stored(self_join(docs, k, t, lookup=lookup).where("n_shingles > 0"), "joined")
+    joined = stored(self_join(docs, k, t).where("n_shingles > 0"), "joined")
     keeper = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = joined.where(~keeper).select("doc_id", "class").distinct()
+    gone = joined.where(~keeper).select("doc_id", "digest", F.lit(None).cast("long").alias("component")).distinct()
     crowded = joined.where(keeper).groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1").select("component")
-    contested = joined.where(keeper).join(crowded, "component").select("doc_id", "class", "component").distinct()
-    verdicts = stored(gone.withColumn("component", F.lit(None).cast("long")).unionAll(contested), "verdicts")
-    few = verdicts.limit(lookup + 1).count() <= lookup
-    held = None
-    if few:
-        got = verdicts.toArrow()
-        key = _pair_hash(got.column("doc_id").combine_chunks(), unsigned(got.column("class").to_numpy()))
-        order = np.argsort(key)
-        component = got.column("component")
-        held = docs.sparkSession.sparkContext.broadcast((key[order], component.is_null().to_numpy()[order], component.fill_null(0).to_numpy()[order]))
-    of, gone_in, into = (unused(docs, n) for n in ("_class", "_gone", "_component"))
-    tagged = docs.select("*", F.lit(None).cast("long").alias(of), F.lit(False).alias(gone_in), F.lit(None).cast("long").alias(into))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, bounds = shingle_sets(part.column(part.schema.get_field_index("text")), k)
-                node = set_hash(sets, bounds)
-                none = np.zeros(part.num_rows, bool)
-                out, mine, crowd = none, np.zeros(part.num_rows, np.int64), none
-                if held and len(held.value[0]):
-                    keys, out_of, component = held.value
-                    key = _pair_hash(part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), node)
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    same = (keys[at] == key) & (np.diff(bounds) > 0)
-                    out, mine, crowd = same & out_of[at], component[at], same & ~out_of[at]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(node), pa.int64()), pa.array(out), pa.array(mine, pa.int64(), mask=~crowd)], names=[*part.schema.names, of, gone_in, into])
-
-    tagged = docs.mapInArrow(run, tagged.schema)
-    if not few:
-        found = verdicts.alias("f")
-        tagged = tagged.drop(gone_in, into).alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{of}") == F.col("f.class")), "left")
-        tagged = tagged.select("d.*", (F.col("f.class").isNotNull() & F.col("f.component").isNull()).alias(gone_in), F.col("f.component").alias(into))
+    contested = joined.where(keeper).join(crowded, "component").select("doc_id", "digest", "component").distinct()
+    verdicts = stored(gone.unionAll(contested), "verdicts")
+    held = sieve(verdicts.select(F.xxhash64(_id_hash("doc_id"), "digest")))
+    by, digest = (unused(docs, n) for n in ("_by", "_digest"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn(digest, F.xxhash64(text))
+    keyed = keyed.withColumn(by, F.xxhash64(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.col("doc_id").cast("long").isNull()), digest))
     names = docs.columns
-    stay = tagged.where(~F.col(gone_in))
-    single = stay.where(F.col(into).isNull()).select(*names)
-    if not verdicts.where("component IS NOT NULL").isEmpty():
-        one = stay.where(F.col(into).isNotNull()).groupBy(into).agg(F.first(F.struct(*names)).alias("row")).select("row.*")
-        single = single.unionByName(one)
-    return single
-
-
-def _pair_hash(ids: pa.Array, node: np.ndarray) -> np.ndarray:
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    value = unsigned(ids.fill_null(0).to_numpy().astype(np.int64))
-    return mix(mix(value + null.astype(np.uint64) * _U(0x632BE59BD9B4E019)) ^ node)
+    clear = rows_that_pass(keyed, by, held, False).select(*names)
+    row, f = F.struct(*names).alias("row"), verdicts.alias("f")
+    unsure = rows_that_pass(keyed, by, held).select(F.col("doc_id").cast("long").alias("id"), F.col(digest).alias("digest"), row).alias("d")
+    looked_up = unsure.join(f, F.col("d.id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.digest") == F.col("f.digest")), "left")
+    looked_up = stored(looked_up.select("row", F.col("f.digest").isNotNull().alias("known"), F.col("f.component").alias("component")).where("NOT known OR component IS NOT NULL"), "looked_up")
+    one = looked_up.where("known").groupBy("component").agg(F.first("row").alias("row"))
+    return clear.unionByName(looked_up.where("NOT known").select("row.*")).unionByName(one.select("row.*"))
 
 
 def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratakv.llm import jaccard, katz, packing, sharding
+from stratakv.llm import _sieve, jaccard, katz, packing, sharding
 from stratakv.llm.components import components
 from tests.llm.conftest import EDGES, documents
 
@@ -71,31 +72,80 @@ def near_copies(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize(("k", "t", "how"), [(4, Fraction(85, 100), {}), (5, Fraction(4, 5), {}), (3, Fraction(1, 2), {"longest": 3}), (2, Fraction(6, 10), {"lookup": 5})])
+@pytest.mark.parametrize(("k", "t", "how"), [(4, Fraction(85, 100), {}), (5, Fraction(4, 5), {}), (3, Fraction(1, 2), {"longest": 3}), (2, Fraction(6, 10), {"most": 1})])
 def test_join_equals_brute_force(spark, k, t, how):
     rows = near_copies(k)
     got = jaccard.self_join(documents(spark, rows), k, t, **how)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, k, t)
 
 
-def test_join_beyond_its_switches(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LINKED", 1)
+def test_join_through_a_full_sieve(spark, monkeypatch):
+    """With so few bits that every text passes, the exact joins alone decide."""
+    monkeypatch.setattr(_sieve, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(_sieve, "SPARSE", 1)
+    monkeypatch.setattr(jaccard, "STEP", 7)
     rows = near_copies(5)
-    got = jaccard.self_join(documents(spark, rows), lookup=1)
+    got = jaccard.self_join(documents(spark, rows))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows, 5, Fraction(4, 5))
 
 
+def test_sieve(spark):
+    keys = [(x * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for x in range(1, 3000)]
+    held = _sieve.sieve(spark.createDataFrame([(x,) for x in keys[:1000]], "h long"))
+    ok = _sieve.passes(held.value, np.array(keys))
+    assert ok[:1000].all() and ok[1000:].mean() < 0.1
+    assert not _sieve.passes(_sieve.sieve(spark.createDataFrame([], "h long")).value, np.array(keys)).any()
+
+
+def proposed(spark, rows, most, longest=jaccard.LIST):
+    """Pairs that the two walks propose to a join that asks for ``most`` matches at most."""
+    seen, real = [], jaccard._linked
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "_linked", lambda texts, k, limit, pairs, classes: seen.append(pairs.count()) or real(texts, k, limit, pairs, classes))
+        got = jaccard.self_join(documents(spark, rows), most=most, longest=longest)
+        result = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr)
+    return sum(seen), result
+
+
+def test_more_matches_propose_fewer_pairs(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passages = [[word() for _ in range(9)] for _ in range(8)]
+    rows = near_copies(3) + [(2000 + i, " ".join([word() for _ in range(4)] + sum(rng.sample(passages, 3), []) + [word() for _ in range(3)])) for i in range(150)]
+    one, same = proposed(spark, rows, 1)
+    several, got = proposed(spark, rows, 4)
+    assert got == same == brute_components(rows, 5, Fraction(4, 5))
+    assert several < one
+
+
+def test_pairs_of_a_long_list_stay_in_bounds():
+    """All pairs of 20,000 texts of one list are walked a step at a time."""
+    n = jaccard.LIST
+    zero = np.zeros(n, np.int64)
+    lists = jaccard.Lists(np.arange(n).astype(np.uint64), np.arange(n).astype(np.uint64), zero + 100, zero + 1, zero, zero + 2, np.array([0, n]))
+    tracemalloc.start()
+    pairs = 0
+    for i, j in jaccard.across(lists, jaccard.Threshold(Fraction(4, 5))):
+        assert len(i) <= jaccard.STEP + n
+        pairs += len(i)
+        if pairs > 2e7:
+            break
+    assert tracemalloc.get_traced_memory()[1] < 5e8
+    tracemalloc.stop()
+
+
 def test_join_at_the_edges(spark, edges, nothing):
     got = jaccard.self_join(edges, 4, Fraction(85, 100))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(EDGES, 4, Fraction(85, 100))
     assert jaccard.self_join(nothing).count() == 0
 
 
-@pytest.mark.parametrize("lookup", [1 << 20, 1])
-def test_one_of_each(spark, edges, nothing, lookup):
+@pytest.mark.parametrize("bits", [1 << 30, 1 << 10])
+def test_one_of_each(spark, edges, nothing, monkeypatch, bits):
+    monkeypatch.setattr(_sieve, "MOST_BITS", bits)
     rows = near_copies(9) + [(5000, "again " * 9), (5000, "again " * 9), (None, "no id here at all " * 3), (None, "no id here at all " * 3), (2, "some words that nobody else has written"), (2, "some words that nobody else has written")]
     docs = documents(spark, rows)
-    kept = jaccard.one_of_each(docs, lookup=lookup)
+    kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     want = brute_components(rows, 5, Fraction(4, 5))
     wordless = sum(not n for _, n, _ in want)
@@ -104,7 +154,7 @@ def test_one_of_each(spark, edges, nothing, lookup):
     assert kept.count() == wordless + len(named) + nameless
     assert {r.doc_id for r in kept.collect() if tokens(r.text) and r.doc_id is not None} == named
     assert jaccard.one_of_each(nothing).count() == 0
-    assert jaccard.one_of_each(edges, lookup=lookup).count() == len(EDGES) - 2
+    assert jaccard.one_of_each(edges).count() == len(EDGES) - 2
 
 
 def test_prefix_lemma():
