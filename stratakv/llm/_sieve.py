@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPARSE = 16
+SPARSE = 64
 MOST_BITS = 1 << 30
 _CHUNK = 23
 _U = np.uint64

@@ -27,8 +27,11 @@ costs a star, not all its pairs, and no link between components is lost.  Lists
 of shingles with more than ``LIST`` texts are dealt in blocks, each block with
 each; pairs are walked ``STEP`` at a time.
 
-*Verification* compares the whole sets.  They are made again from the texts that
-pass a sieve of the proposed classes' ids, and joined exactly.
+*Verification* bounds what the sets of a pair share by a bitmap of each set, in
+which every shingle turns over one bit of about as many: bits that differ count
+shingles that are not shared.  What is left is compared by the whole sets, which
+are made again from the texts that pass a sieve of the pairs' ids, and joined
+exactly.
 
 A class is known by 128 bits of hashes of its set, and shingles by 64 bits.
 
@@ -232,8 +235,28 @@ def key_bits(size: int) -> int:
     return -(-min(56, max(40, size.bit_length() + 10)) // 8) * 8
 
 
+def bitmaps(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, bits that each of its shingles turns over: as many as its size, raised to a power of two."""
+    n = np.diff(bounds)
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    begins = np.concatenate(([0], np.cumsum(bits)))
+    at = (sets & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(begins[:-1], n)
+    raw = np.packbits((np.bincount(at, minlength=begins[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [raw[a >> 3 : b >> 3] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A number of shingles that two sets do not share, from their bitmaps: half of a longer one is laid on the other half."""
+    p, q = (x, y) if len(x) >= len(y) else (y, x)
+    value, half = int.from_bytes(p, "little"), len(p) * 4
+    while half >= len(q) * 8:
+        value = value & (1 << half) - 1 ^ value >> half
+        half //= 2
+    return (value ^ int.from_bytes(q, "little")).bit_count()
+
+
 def _prefixes(texts: DataFrame, k: int, limit: Threshold, most: int, frequent: Broadcast, bits: int) -> DataFrame:
-    """One row for each text: its set's size and hashes, its m, and its prefix in order."""
+    """One row for each text: its set's size and hashes, its m, its prefix in order, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,9 +269,9 @@ def _prefixes(texts: DataFrame, k: int, limit: Threshold, most: int, frequent: B
                 width = bits // 8
                 prefixes = [raw[a * width : (a + p) * width] for a, p in zip(bounds[:-1].tolist(), length.tolist(), strict=True)]
                 hashes = [pa.array(signed(set_hash(sets, bounds, seed)), pa.int64()) for seed in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *hashes, pa.array(m, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "digest", "n", "hash", "proof", "matches", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *hashes, pa.array(m, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bitmaps(sets, bounds), pa.binary())], ["doc_id", "digest", "n", "hash", "proof", "matches", "prefix", "bitmap"])
 
-    return texts.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, n long, hash long, proof long, matches int, prefix binary")
+    return texts.select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, digest long, n long, hash long, proof long, matches int, prefix binary, bitmap binary")
 
 
 # ------------------------------------------------------------------ candidates
@@ -290,26 +313,31 @@ def stars(lists: Lists, limit: Threshold) -> Iterator[tuple[np.ndarray, np.ndarr
 def across(lists: Lists, limit: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of all pairs of each list in different components whose sizes suit."""
     up, down = limit.t.numerator, limit.t.denominator
-    for a, b in zip(lists.bounds[:-1].tolist(), lists.bounds[1:].tolist(), strict=True):
-        if b - a < 2 or (lists.component[a:b] == lists.component[a]).all():
-            continue
-        n = lists.n[a:b]
-        # The largest partner that a text's place allows; texts that no size in the list suits are left out.
-        reach = (n - lists.at[a:b] + lists.matches[a:b] - 1) * (up + down) // up - n
-        alive = np.flatnonzero(reach >= np.maximum(limit.least(n), n.min()))
-        alive = a + alive[np.argsort(n[alive], kind="stable")]
-        size = lists.n[alive]
-        width = np.searchsorted(size, size * down // up, "right") - np.arange(len(alive)) - 1
-        ends = np.concatenate(([0], np.cumsum(width)))
-        lo = 0
-        while lo < len(alive):
-            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
-            i = np.repeat(np.arange(lo, hi), width[lo:hi])
-            j = i + 1 + np.arange(int(ends[hi] - ends[lo])) - np.repeat(ends[lo:hi] - ends[lo], width[lo:hi])
-            i, j = alive[i], alive[j]
-            apart = lists.component[i] != lists.component[j]
-            yield i[apart], j[apart]
-            lo = hi
+    length = np.diff(lists.bounds)
+    if not len(length):
+        return
+    which = np.repeat(np.arange(len(length)), length)
+    begins = lists.bounds[:-1]
+    mixed = np.minimum.reduceat(lists.component, begins) < np.maximum.reduceat(lists.component, begins)
+    # The largest partner that a text's place allows; texts that no size in the list suits are left out.
+    n = lists.n
+    reach = (n - lists.at + lists.matches - 1) * (up + down) // up - n
+    alive = np.flatnonzero(mixed[which] & (reach >= np.maximum(limit.least(n), np.minimum.reduceat(n, begins)[which])))
+    order = which[alive] << 32 | n[alive]
+    by = np.argsort(order, kind="stable")
+    alive, order = alive[by], order[by]
+    end = np.searchsorted(order, (order >> 32 << 32) + n[alive] * down // up, "right")
+    width = end - np.arange(len(alive)) - 1
+    ends = np.concatenate(([0], np.cumsum(width)))
+    lo = 0
+    while lo < len(alive):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + STEP, "right")) - 1)
+        i = np.repeat(np.arange(lo, hi), width[lo:hi])
+        j = i + 1 + np.arange(int(ends[hi] - ends[lo])) - np.repeat(ends[lo:hi] - ends[lo], width[lo:hi])
+        i, j = alive[i], alive[j]
+        apart = lists.component[i] != lists.component[j]
+        yield i[apart], j[apart]
+        lo = hi
 
 
 def count_pairs(a: np.ndarray, b: np.ndarray, count: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -377,6 +405,7 @@ def proposals(classes: DataFrame, total: int, limit: Threshold, bits: int, long_
         lists = Lists(node, comp ^ node, *(c.astype(np.int64) for c in (n, matches, at, side)), runs(key))
         met: list[tuple[np.ndarray, ...]] = []
         made: list[tuple[int, list[bytes]]] = []
+        size = 0
 
         def merge(out: bool) -> None:
             low, high, count, need = count_pairs(*(np.concatenate([x[i] for x in met]) for i in range(4)))
@@ -394,8 +423,10 @@ def proposals(classes: DataFrame, total: int, limit: Threshold, bits: int, long_
         for i, j in walk(lists, limit):
             ok, need = lists.possible(limit, i, j)
             met.append((node[i[ok]], node[j[ok]], np.ones(int(ok.sum()), np.int64), need[ok]))
-            if sum(len(x[0]) for x in met) > 4 * STEP:
+            size += int(ok.sum())
+            if size > 4 * STEP:
                 merge(False)
+                size = sum(len(x[0]) for x in met)
         if met:
             merge(True)
         return pa.table([pa.array([p for p, _ in made], pa.int32()), *(pa.array([b[i] for _, b in made], pa.binary()) for i in range(4))], ["part", "a", "b", "count", "need"])
@@ -438,11 +469,29 @@ def _id_hash(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit(-1).cast("long")), F.col(column).isNull())
 
 
-def _linked(texts: DataFrame, k: int, limit: Threshold, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link.
+def _near(limit: Threshold, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those whose bitmaps show that too many shingles differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            most = m + n - 2 * limit.overlap(m, n)
+            differ = [differ_at_least(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(np.array(differ, np.int64) <= most))
+
+    def side(of: str, n: str, bitmap: str) -> DataFrame:
+        return classes.select(F.col("node").alias(of), F.col("n").alias(n), F.col("bitmap").alias(bitmap))
+
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
+def _linked(texts: DataFrame, k: int, limit: Threshold, proposed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the proposed pairs (a, b) whose sets link.
 
-    The sets come from texts whose id passes the sieve of the classes' first ids; a join by the sets' hashes leaves out the rest.
+    Bitmaps leave out most others. The sets come from texts whose id passes the sieve of the classes' first ids; a join by the sets' hashes leaves out the rest.
     """
+    pairs = stored(_near(limit, proposed, classes), "near")
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.join(classes.select("node", "hash", "proof", "first_id"), "node"), "wanted")
     held = sieve(wanted.select(_id_hash("first_id")))
@@ -504,7 +553,7 @@ def self_join(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5), most: i
     frequent = docs.sparkSession.sparkContext.broadcast(counted)
     rows = stored(_prefixes(texts, k, limit, most, frequent, bits), "prefixes")
     full = rows.where("n > 0")
-    classes = full.groupBy("hash", "proof").agg(F.min("doc_id").alias("first_id"), *(F.max(c).alias(c) for c in ("n", "matches", "prefix")))
+    classes = full.groupBy("hash", "proof").agg(F.min("doc_id").alias("first_id"), *(F.max(c).alias(c) for c in ("n", "matches", "prefix", "bitmap")))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = int(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).collect()[0].n) // (bits // 8)
     of = (total, limit, bits, counted.longer(longest), longest)
