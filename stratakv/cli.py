@@ -35,7 +35,7 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--all", action="store_true", help="print every entry as key ==> value")
     two = commands.add_parser("compact", help="compact table files into one folder")
     two.add_argument("--for-ingest", action="store_true")
-    two.add_argument("--files", type=int, default=1)
+    two.add_argument("--files", type=int, help="as many at most; else files follow the bytes")
     two.add_argument("--list", help="a text file that names one input a line")
     two.add_argument("output")
     two.add_argument("inputs", nargs="*")

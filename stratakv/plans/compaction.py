@@ -42,13 +42,13 @@ def compact_sharded(entries: DataFrame, shards: int, policy: Policy = Bottommost
     return sharded.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", *internal_order())
 
 
-def by_ranges(entries: DataFrame, parts: int) -> DataFrame:
-    """Partitions are disjoint, rising ranges of user keys, each in internal order."""
-    return entries.repartitionByRange(parts, "user_key").sortWithinPartitions(*internal_order())
+def by_ranges(entries: DataFrame, parts: int | None = None) -> DataFrame:
+    """Partitions are disjoint, rising ranges of user keys, each in internal order; as many as Spark makes of the bytes if ``parts`` is None."""
+    return entries.repartitionByRange(*([parts] if parts else []), "user_key").sortWithinPartitions(*internal_order())
 
 
-def write_sst(entries: DataFrame, path: str, files: int = 1, mode: str = "overwrite", **options: object) -> None:
-    """Writes entries as ``files`` table files at most, with disjoint key ranges.
+def write_sst(entries: DataFrame, path: str, files: int | None = None, mode: str = "overwrite", **options: object) -> None:
+    """Writes entries as ``files`` table files at most, with disjoint key ranges; without a number, files follow the bytes.
 
     forIngest=True sets every sequence to 0; entries must then have one version
     of a key, which the writer checks.
@@ -58,7 +58,7 @@ def write_sst(entries: DataFrame, path: str, files: int = 1, mode: str = "overwr
     by_ranges(columns, files).write.format("sst").options(**options).mode(mode).save(path)
 
 
-def compact_files(spark: SparkSession, inputs: Sequence[str], output: str, for_ingest: bool = False, policy: Policy = Bottommost(), files: int = 1, **options: object) -> None:
+def compact_files(spark: SparkSession, inputs: Sequence[str], output: str, for_ingest: bool = False, policy: Policy = Bottommost(), files: int | None = None, **options: object) -> None:
     """The offline job: read table files, compact, write."""
     if for_ingest and isinstance(policy, (Passthrough, Snapshots, SnapshotAware)):
         raise SstError("a file to be ingested has one version of a key; this policy keeps more")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys
@@ -16,6 +16,8 @@ from .operators import history, merge, policies
 from .plans import compaction
 from .schema import type_name
 from .scratch import new_path
+from .sources.files import PendingFile, publish
+from .sources.workload import generate
 
 LOW, MID, HIGH = 500, 5_000, 1_000_000_000
 
@@ -154,8 +156,58 @@ def sst_pushdown_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sst_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _written(spark, events(spark, sf_dir))
-    return shown(compaction.read_sst(spark, path, view="blocks").drop("file_path"))
+    """Of one file: whether blocks follow each other without a gap from its first byte, and add up to what the properties say; the last separator."""
+    path = _written(spark, events(spark, sf_dir), 1)
+    blocks = compaction.read_sst(spark, path, view="blocks").withColumn("before", F.lag(F.col("offset") + F.col("size") + 5, 1, 0).over(Window.partitionBy("file_path").orderBy("block_no")))
+    data = compaction.read_sst(spark, path, view="properties").where("name = 'rocksdb.data.size'").select("file_path", F.col("number").cast("long").alias("data_size"))
+    whole = blocks.groupBy("file_path").agg((F.count("*") > 1).alias("several"), F.bool_and(F.col("before") == F.col("offset")).alias("gapless"), F.sum(F.col("size") + 5).alias("bytes"), F.max_by(F.struct("last_user_key", "last_seq", "last_type"), "block_no").alias("last"))
+    return shown(whole.join(data, "file_path").select("several", "gapless", (F.col("bytes") == F.col("data_size")).alias("adds_up"), "last.last_user_key", "last.last_seq", "last.last_type"))
+
+
+def sst_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the log, the second appended to the folder of the first."""
+    path, entries = new_path(spark, "sst"), events(spark, sf_dir)
+    for half in (0, 1):
+        compaction.write_sst(entries.where(F.col("seq") % 2 == half), path, 2, "append")
+    return _entries(compaction.read_sst(spark, path))
+
+
+def sst_compressed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the log in each form of compression that is read."""
+    entries = events(spark, sf_dir)
+    paths = [_written(spark, entries.where(F.col("source_id") == i), 1, compression=kind) for i, kind in enumerate(("snappy", "lz4", "lz4hc", "zstd"))]
+    return _entries(compaction.read_sst(spark, *paths))
+
+
+def sst_crc32c_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with CRC32C sums, restart points far apart and an index of changes of size."""
+    return _entries(compaction.read_sst(spark, _written(spark, conversations(spark, sf_dir), 1, checksumType="CRC32C", restartInterval=3, indexInterval=8)))
+
+
+def sst_path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that a text file names, blank lines among them."""
+    entries = events(spark, sf_dir)
+    paths = [_written(spark, entries.where(F.col("source_id") % 2 == i), 1) for i in (0, 1)]
+    folder = new_path(spark, "lists")
+    file = PendingFile(folder, "inputs.txt")
+    file.write("\n\n  ".join([*paths, ""]).encode())
+    publish(*file.close())
+    return _entries(compaction.read_sst(spark, pathList=f"{folder}/inputs.txt"))
+
+
+def sst_ingest_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two properties that mark a file for ingestion."""
+    out = new_path(spark, "sst")
+    compaction.compact_files(spark, [_written(spark, events(spark, sf_dir))], out, for_ingest=True, files=1)
+    stamps = compaction.read_sst(spark, out, view="properties").where("name like '%external_sst_file%'")
+    return stamps.select("name", F.col("number").cast("long").alias("number"))
+
+
+def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every generated change log."""
+    made = generate(spark, 5, 400)
+    by_key = made.groupBy("user_key").agg(F.count("*").alias("versions"), F.max("seq").alias("newest"), F.count_if(keys.is_tombstone()).alias("deleted"), F.max("source_id").alias("source"))
+    return by_key.agg(F.count("*").alias("keys"), (F.max("versions") <= 3).alias("versions_bounded"), F.bool_and(F.col("versions") == F.col("newest")).alias("sequences_fall"), (F.max("deleted") <= 1).alias("newest_alone_deleted"), (F.max("source") < 5).alias("sources_bounded"))
 
 
 def sst_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +292,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sst_files": sst_files,
     "sst_meta": sst_meta,
     "sst_blocks": sst_blocks,
+    "sst_append_roundtrip": sst_append_roundtrip,
+    "sst_compressed_roundtrip": sst_compressed_roundtrip,
+    "sst_crc32c_roundtrip": sst_crc32c_roundtrip,
+    "sst_path_list": sst_path_list,
+    "sst_ingest_stamps": sst_ingest_stamps,
+    "generated_workload": generated_workload,
     "dump_lines": lambda s, d: compaction.dump(events(s, d)),
     "parse_dump_lines": lambda s, d: shown(compaction.dump(events(s, d)).select(parse_line(F.col("line")).alias("e")).select("e.user_key", "e.value")),
 }
@@ -310,6 +368,13 @@ ORACLE_SQL: dict[str, str] = {
     "sst_pushdown_range": _over(EVENTS, f"SELECT {_COLUMNS} FROM entries WHERE user_key BETWEEN 'user000010' AND 'user000020'"),
     "sst_properties": _over(EVENTS, "SELECT count(*) AS entries, CAST(sum(strlen(user_key) + 8) AS BIGINT) AS raw_key_size, CAST(sum(strlen(value)) AS BIGINT) AS raw_value_size FROM entries"),
     "sst_files": "SELECT '0x88e241b785f4cff7' AS magic, 7 AS format_version, 'XXH3' AS checksum_type, CAST(1 AS BIGINT) AS context_checksum",
+    "sst_blocks": _over(EVENTS, "SELECT true AS several, true AS gapless, true AS adds_up, user_key AS last_user_key, seq AS last_seq, value_type AS last_type FROM entries ORDER BY user_key DESC, seq, value_type LIMIT 1"),
+    "sst_append_roundtrip": _over(EVENTS, f"SELECT {_COLUMNS} FROM entries"),
+    "sst_compressed_roundtrip": _over(EVENTS, f"SELECT {_COLUMNS} FROM entries"),
+    "sst_crc32c_roundtrip": _over(CONVERSATIONS, f"SELECT {_COLUMNS} FROM entries"),
+    "sst_path_list": _over(EVENTS, f"SELECT {_COLUMNS} FROM entries"),
+    "sst_ingest_stamps": "SELECT * FROM (VALUES ('rocksdb.external_sst_file.version', CAST(2 AS BIGINT)), ('rocksdb.external_sst_file.global_seqno', CAST(0 AS BIGINT))) t(name, number)",
+    "generated_workload": "SELECT CAST(400 AS BIGINT) AS keys, true AS versions_bounded, true AS sequences_fall, true AS newest_alone_deleted, true AS sources_bounded",
     "sst_meta": "SELECT unnest(['rocksdb.index', 'rocksdb.properties']) AS name, true AS found",
     "dump_lines": _over(EVENTS, "SELECT user_key || ' ==> ' || value AS line FROM entries"),
     "parse_dump_lines": _over(EVENTS, "SELECT user_key, value FROM entries"),

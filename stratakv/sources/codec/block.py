@@ -62,9 +62,10 @@ def entries_end(block: bytes) -> int:
     return end
 
 
-def read_entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """Keys and values of a data block, in order."""
-    end, at, key = entries_end(block), 0, b""
+def decode_entries(block: bytes, keys: list[bytes], values: list[bytes]) -> int:
+    """Appends the keys and values of a data block; gives their number."""
+    end, at, key, before = entries_end(block), 0, b"", len(keys)
+    add_key, add_value = keys.append, values.append
     while at < end:
         if at + 3 <= end and (shared := block[at]) < 128 and (fresh := block[at + 1]) < 128 and (size := block[at + 2]) < 128:
             at += 3  # the usual case: three numbers of one byte
@@ -72,13 +73,25 @@ def read_entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
             shared, at = get_varint(block, at, 32)
             fresh, at = get_varint(block, at, 32)
             size, at = get_varint(block, at, 32)
+        middle = at + fresh
+        stop = middle + size
         if shared > len(key):
             raise SstFormatError(f"entry shares {shared} bytes with a key of {len(key)}")
-        if at + fresh + size > end:
+        if stop > end:
             raise SstFormatError("entry exceeds its block")
-        key = key[:shared] + block[at : at + fresh]
-        yield key, block[at + fresh : at + fresh + size]
-        at += fresh + size
+        key = key[:shared] + block[at:middle]
+        add_key(key)
+        add_value(block[middle:stop])
+        at = stop
+    return len(keys) - before
+
+
+def read_entries(block: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Keys and values of a data block, in order."""
+    keys: list[bytes] = []
+    values: list[bytes] = []
+    decode_entries(block, keys, values)
+    return zip(keys, values, strict=True)
 
 
 def read_index(block: bytes, delta: bool = True) -> Iterator[tuple[bytes, Handle]]:

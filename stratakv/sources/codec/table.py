@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from . import footer as footers
-from .block import BlockWriter, Handle, IndexWriter, read_entries, read_index, seal, unseal
+from .block import BlockWriter, Handle, IndexWriter, decode_entries, read_entries, read_index, seal, unseal
 from .checksum import Checksum
 from .errors import SstFormatError, SstUnsupportedError
 from .numbers import get_varint, put_varint
@@ -33,6 +33,8 @@ PROPERTY_KINDS = {
 }
 
 SUFFIX = 8
+#: Neighbouring blocks are read together, up to so many bytes and over gaps of so many.
+READ_BYTES, READ_GAP = 4 << 20, 64 << 10
 EXTERNAL_VERSION = 2
 
 
@@ -192,11 +194,26 @@ class TableReader:
             delta = known.get("rocksdb.index.value.is.delta.encoded", 0 if self.footer.version < 4 else 1)
             return list(read_index(self.block(handle), bool(delta)))
 
+    def blocks(self, handles: list[Handle]) -> Iterator[bytes]:
+        """Contents of blocks in file order; one read fetches many."""
+        with self._named():
+            lo = 0
+            while lo < len(handles):
+                begin, hi = handles[lo].offset, lo + 1
+                while hi < len(handles) and handles[hi - 1].end <= handles[hi].offset <= handles[hi - 1].end + READ_GAP and handles[hi].end - begin <= READ_BYTES:
+                    hi += 1
+                if handles[hi - 1].end > self.size:
+                    raise SstFormatError(f"block at {handles[hi - 1].offset} with {handles[hi - 1].size} bytes lies outside the file")
+                data = self.read_at(begin, handles[hi - 1].end - begin)
+                for h in handles[lo:hi]:
+                    yield unseal(data[h.offset - begin : h.end - begin], h, self.footer.checksum, self.footer.base, self.verify)
+                lo = hi
+
     def entries(self, handles: list[Handle] | None = None, drop_malformed: bool = False) -> Iterator[tuple[bytes, int, int, bytes, int, int]]:
         """(user key, seq, type, value, block number, place in it) of all blocks, or of those given."""
         with self._named():
-            for b, handle in enumerate([h for _, h in self.index()] if handles is None else handles):
-                for e, (key, value) in enumerate(read_entries(self.block(handle))):
+            for b, block in enumerate(self.blocks([h for _, h in self.index()] if handles is None else handles)):
+                for e, (key, value) in enumerate(read_entries(block)):
                     if len(key) < SUFFIX and drop_malformed:
                         continue
                     yield (*split_key(key), value, b, e)

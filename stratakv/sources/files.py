@@ -75,6 +75,8 @@ class PendingFile:
 
 def publish(folder: str, hidden: str, name: str) -> None:
     system, at = _at(folder)
+    if system.get_file_info(f"{at}/{name}").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{folder}/{name} is there already")
     system.move(f"{at}/{hidden}", f"{at}/{name}")
 
 
@@ -86,10 +88,14 @@ def discard(folder: str, hidden: str) -> None:
         pass
 
 
-def clear(folder: str) -> None:
-    """Removes the table files of a folder that is written anew."""
+def tables_in(folder: str) -> list[tuple[fs.FileSystem, str]]:
+    """The table files that stand in a folder."""
     system, at = _at(folder)
-    if system.get_file_info(at).type == fs.FileType.Directory:
-        for f in system.get_file_info(fs.FileSelector(at)):
-            if f.type == fs.FileType.File and _is_table(f.base_name):
-                system.delete_file(f.path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return []
+    return [(system, f.path) for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and _is_table(f.base_name)]
+
+
+def remove(files: list[tuple[fs.FileSystem, str]]) -> None:
+    for system, path in files:
+        system.delete_file(path)

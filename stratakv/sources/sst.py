@@ -5,7 +5,7 @@ Options: ``view`` (entries, files, blocks, properties, meta), ``pathList`` (a
 text file that names one input a line), ``verifyChecksums`` (true), ``mode``
 (FAILFAST or DROPMALFORMED for internal keys under eight bytes), ``positions``
 (true adds file_path, block_no and entry_no), ``splitBytes`` (large files are
-read by several tasks, each a range of blocks), ``userKeyFrom`` and
+read by several tasks, each a range of bytes; only they read the index), ``userKeyFrom`` and
 ``userKeyTo`` (hex, both inclusive).
 
 Filters on user_key prune blocks by the index; Spark applies them again itself.
@@ -17,19 +17,24 @@ names until the job commits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schema import ENTRIES
+from .codec.block import decode_entries
 from .codec.checksum import Checksum
+from .codec.compression import NAMES
 from .codec.errors import SstError, SstFormatError
-from .codec.table import TableReader, TableWriter, WriteOptions, decode_property
-from .files import PendingFile, clear, discard, expand, opened, publish
+from .codec.table import SUFFIX, TableReader, TableWriter, WriteOptions, decode_property
+from .files import PendingFile, discard, expand, opened, publish, remove, tables_in
 
 BATCH_BYTES, BATCH_ROWS = 4_000_000, 16_384
 SPLIT_BYTES = 128 << 20
@@ -53,7 +58,7 @@ def entries_schema(positions: bool = False) -> T.StructType:
 
 @dataclass
 class FilePart(InputPartition):
-    """Blocks ``first`` to ``last`` of a file; all of them if last is None. source: the file's number."""
+    """The blocks of a file that begin at its bytes ``first`` to ``last``; all after first if last is None. source: the file's number."""
 
     path: str
     source: int
@@ -65,6 +70,26 @@ class FilePart(InputPartition):
         self.path, self.source, self.first, self.last = path, source, first, last
 
 
+def split_keys(keys: list[bytes], drop_malformed: bool = False) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray | None]:
+    """User keys, sequences and types of internal keys, and which were kept if some were not."""
+    length = np.fromiter(map(len, keys), np.int64, len(keys))
+    kept = None
+    if len(length) and length.min() < SUFFIX:
+        if not drop_malformed:
+            raise SstFormatError(f"internal key of {length.min()} bytes")
+        kept = length >= SUFFIX
+        keys, length = [k for k in keys if len(k) >= SUFFIX], length[kept]
+    data = np.frombuffer(b"".join(keys), np.uint8)
+    ends = np.cumsum(length)
+    suffix = (ends - SUFFIX)[:, None] + np.arange(SUFFIX)
+    packed = np.ascontiguousarray(data[suffix]).view("<u8").reshape(-1) if len(keys) else np.zeros(0, np.uint64)
+    rest = np.ones(len(data), bool)
+    rest[suffix.reshape(-1)] = False
+    offsets = np.concatenate(([0], np.cumsum(length - SUFFIX))).astype(np.int32)
+    user_key = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[rest]))])
+    return user_key, pa.array((packed >> np.uint64(8)).astype(np.int64)), pa.array((packed & np.uint64(255)).astype(np.int32)), kept
+
+
 class SstReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.options = options
@@ -105,13 +130,8 @@ class SstReader(DataSourceReader):
             if self.view != "entries" or size <= self.split:
                 parts.append(FilePart(path, source))
                 continue
-            with opened(path) as (read_at, size):
-                handles = [h for _, h in TableReader(read_at, size, path, self.verify).index()]
-            begin = 0
-            for b, handle in enumerate(handles):
-                if handle.end - handles[begin].offset >= self.split or b == len(handles) - 1:
-                    parts.append(FilePart(path, source, begin, b + 1))
-                    begin = b + 1
+            step = -(-size // -(-size // self.split))
+            parts += [FilePart(path, source, first, first + step) for first in range(0, size, step)]
         return parts
 
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
@@ -123,25 +143,41 @@ class SstReader(DataSourceReader):
         chosen, before = [], None
         for b, (last, handle) in enumerate(table.index()):
             key = last[:-8]
-            if (part.last is None or part.first <= b < part.last) and (self.low is None or key >= self.low) and (self.high is None or before is None or before <= self.high):
+            if handle.offset >= part.first and (part.last is None or handle.offset < part.last) and (self.low is None or key >= self.low) and (self.high is None or before is None or before <= self.high):
                 chosen.append((b, handle))
             before = key
-        held: list[tuple] = []
-        size = 0
-        for user_key, seq, kind, value, k, e in table.entries([h for _, h in chosen], self.drop):
-            if self.low is not None and user_key < self.low or self.high is not None and user_key > self.high:
-                continue
-            held.append((user_key, seq, kind, value, part.source, part.path, chosen[k][0], e))
-            size += len(user_key) + len(value)
-            if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
-                yield self._batch(held)
-                held, size = [], 0
-        if held:
-            yield self._batch(held)
-
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows), kinds, strict=True))[: len(self.names)]], names=self.names)
+        keys: list[bytes] = []
+        values: list[bytes] = []
+        numbers, counts, size = [], [], 0
+        for (b, _), block in zip(chosen, table.blocks([h for _, h in chosen]), strict=True):
+            numbers.append(b), counts.append(decode_entries(block, keys, values))
+            size += len(block)
+            if len(keys) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield self._batch(part, keys, values, numbers, counts)
+                keys, values, numbers, counts, size = [], [], [], [], 0
+        if keys:
+            yield self._batch(part, keys, values, numbers, counts)
+
+    def _batch(self, part: FilePart, keys: list[bytes], values: list[bytes], numbers: list[int], counts: list[int]) -> pa.RecordBatch:
+        """Entries of blocks ``numbers``, which hold ``counts`` of them."""
+        try:
+            user_key, seq, kind, kept = split_keys(keys, self.drop)
+        except SstFormatError as e:
+            raise SstFormatError(f"{part.path}: {e}") from e
+        if kept is not None:
+            values = [v for v, k in zip(values, kept.tolist(), strict=True) if k]
+        columns = [user_key, seq, kind, pa.array(values, pa.binary()), pa.array(np.full(len(user_key), part.source, np.int32))]
+        if len(self.names) > len(columns):
+            place = np.arange(sum(counts)) - np.repeat(np.cumsum(counts) - counts, counts)
+            block = np.repeat(np.array(numbers, np.int32), counts)
+            places = [pa.array((x if kept is None else x[kept]).astype(np.int32)) for x in (block, place)]
+            columns += [pa.array([part.path] * len(user_key), pa.string()), *places]
+        batch = pa.RecordBatch.from_arrays(columns, names=self.names)
+        if self.low is not None:
+            batch = batch.filter(pc.greater_equal(batch.column(0), pa.scalar(self.low, pa.binary())))
+        if self.high is not None:
+            batch = batch.filter(pc.less_equal(batch.column(0), pa.scalar(self.high, pa.binary())))
+        return batch
 
     def _files(self, table: TableReader, path: str, size: int) -> Iterator[tuple]:
         f = table.footer
@@ -186,11 +222,16 @@ def write_options(options: dict) -> WriteOptions:
         global_seqno=int(options.get("globalSeqno", 0)) if ingest else None,
         block_size=int(options.get("blockSize", 4096)),
         restart_interval=int(options.get("restartInterval", 16)),
+        index_interval=int(options.get("indexInterval", 1)),
+        compression={n.lower(): k for k, n in NAMES.items()}[options.get("compression", "none").lower()],
     )
 
 
 class SstWriter(DataSourceArrowWriter):
-    """One file a partition that has rows, and one empty file if no partition has."""
+    """One file a partition that has rows, and one empty file if no partition has.
+
+    Names hold the job's number, so files that are there stay; an overwriting job removes them once its own have their names.
+    """
 
     def __init__(self, schema: T.StructType, options: dict, overwrite: bool) -> None:
         missing = [n for n in ("user_key", "seq", "value_type", "value") if n not in schema.names]
@@ -198,12 +239,13 @@ class SstWriter(DataSourceArrowWriter):
             raise SstError(f"columns {missing} are missing")
         self.places = [schema.names.index(n) for n in ("user_key", "seq", "value_type", "value")]
         self.folder, self.overwrite, self.o = options["path"], overwrite, write_options(options)
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        file = PendingFile(self.folder, f"part-{context.partitionId() if context else 0:05d}.sst")
+        file = PendingFile(self.folder, f"part-{context.partitionId() if context else 0:05d}-{self.job}.sst")
         try:
             writer = TableWriter(file.write, self.o)
             for batch in batches:
@@ -219,14 +261,14 @@ class SstWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         done = sorted((m for m in messages if m), key=lambda m: m.name)
-        if self.overwrite:
-            clear(self.folder)
+        old = tables_in(self.folder) if self.overwrite else []
         filled = [m for m in done if m.entries] or done[:1]
         for m in done:
             if m in filled:
                 publish(m.folder, m.hidden, m.name)
             else:
                 discard(m.folder, m.hidden)
+        remove(old)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:

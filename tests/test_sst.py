@@ -2,12 +2,13 @@ import os
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 
 from stratakv import cli
 from stratakv.operators import merge, policies
 from stratakv.plans.compaction import compact_files, dump, read_sst, write_sst
 from stratakv.sources.codec.errors import SstError
-from stratakv.sources.codec.table import WriteOptions, write_table
+from stratakv.sources.codec.table import TableReader, WriteOptions, write_table
 from stratakv.sources.sst import decode_files
 from tests.test_policies import bottommost, frame, listed, workload
 
@@ -45,6 +46,42 @@ def test_empty_and_append(spark, tmp_path):
     assert read_sst(spark, path).count() == 1 and len(os.listdir(path)) == 1
 
 
+def test_append_keeps_what_is_there(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = workload(random.Random(9), 2, 100)
+    for i in (0, 1):
+        write_sst(frame(spark, [r for r in rows if r[4] == i]), path, mode="append")
+    assert sorted(listed(read_sst(spark, path))) == sorted(r[:4] for r in rows)
+
+
+def test_a_failed_job_leaves_the_files_there(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_sst(frame(spark, [(b"a", 1, 1, b"x", 0)]), path)
+    repeated = frame(spark, [(b"a", 1, 1, b"y", 0), (b"a", 1, 1, b"z", 0)])
+    for mode in ("overwrite", "append"):
+        with pytest.raises(PySparkException):
+            write_sst(repeated, path, mode=mode)
+        assert listed(read_sst(spark, path)) == [(b"a", 1, 1, b"x")] and len(os.listdir(path)) == 1
+
+
+def test_files_follow_the_bytes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_sst(frame(spark, [(b"k%04d" % i, 1, 1, os.urandom(500), 0) for i in range(2000)]), path)
+    assert read_sst(spark, path).count() == 2000
+
+
+def test_few_reads():
+    data = write_table([(b"k%06d" % i, 1, 1, b"v" * 100) for i in range(20000)])
+    asked = []
+    reader = TableReader(lambda offset, length: asked.append(length) or data[offset : offset + length], len(data))
+    handles = [h for _, h in reader.index()]
+    asked.clear()
+    assert sum(1 for _ in reader.entries(handles)) == 20000
+    assert len(handles) > 400 and len(asked) == 1
+    asked.clear()
+    assert len(list(reader.blocks(handles[:2] + handles[300:302]))) == 4 and len(asked) == 2
+
+
 def test_compaction_of_files(spark, tmp_path):
     rows = workload(random.Random(5), 4, 200)
     inputs = [save(tmp_path / f"{i}.sst", [r for r in rows if r[4] == i]) for i in range(4)]
