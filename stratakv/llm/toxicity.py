@@ -16,8 +16,9 @@ share of toxic rows stands ``LEAST_Z`` standard errors off the mean.  The model
 therefore of bounded size at any size of the corpus, and scoring is one narrow
 pass over all texts.
 
-Cases: a null or empty text gets the score of the bias; a null id is no
-training row; labels that are null or not 0 or 1 are left out, and without any
+Cases: a null or empty text gets the score of the bias; a very long text is
+scored whole; a null id is no training row, nor held out; ties of hashes
+fall by id, then label; labels that are null or not 0 or 1 are left out, and without any
 label the score is 0; repeated rows are scored each; tables may be empty; the
 input's other columns pass through, and one named as the result is replaced.
 """
@@ -239,4 +240,4 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
