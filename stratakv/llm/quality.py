@@ -13,11 +13,12 @@ ordered CASE expression.
 Repeated 3-word windows are found by 64-bit hashes within one text: a text of a
 million words sees a false repeat with a chance below one in ten million.
 
-Cases: a null or empty text has zeros everywhere and fails the base; ties of
-gain take the first feature and threshold; repeated rows are judged each;
-labels that are null or not 0 or 1 are left out, and without labels every text
-that passes the base is kept; columns of the input other than doc_id and text
-are not carried.
+Cases: a null or empty text has zeros everywhere and fails the base; a very long
+text is read whole; ties of gain take the first feature and threshold; repeated
+rows are judged each; labels that are null or not 0 or 1 are left out, of those
+that repeat an id the lowest counts, and without labels every text that passes
+the base is kept; an empty table gives none; columns of the input other than
+doc_id and text are not carried.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import stored, table
@@ -110,18 +111,33 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def _cuts(rows: DataFrame) -> dict[str, list[float]]:
+    """Thresholds at equal steps of each feature's values, among rows of low quality and among all.
+
+    Values are counted on a grid of three figures, so the counts are exact and few, and the thresholds do not depend on
+    how rows are dealt.
+    """
+    stacked = f"stack({len(FEATURES)}, " + ", ".join(f"'{f}', {sql}" for f, sql in FEATURES.items()) + ") as (feature, value)"
+    step = "pow(10D, floor(log10(value)) - 2)"
+    grid = F.expr(f"CASE WHEN value > 0 THEN round(value / {step}) * {step} ELSE 0D END").alias("value")
+    counted = rows.selectExpr("quality", stacked).groupBy("feature", grid).agg(F.count("*").alias("n_all"), F.count_if(F.col("quality") == 0).alias("n_low"))
+    counted = counted.selectExpr("feature", "value", "stack(2, 0, n_all, 1, n_low) as (which, n)").where("n > 0")
+    of = Window.partitionBy("feature", "which")
+    ranked = counted.select("feature", "value", "n", F.sum("n").over(of.orderBy("value")).alias("upto"), F.sum("n").over(of).alias("total"))
+    chosen = ranked.where(f"upto * {BINS} div total > (upto - n) * {BINS} div total AND upto < total").select("feature", "value").distinct().collect()
+    return {f: sorted(r.value for r in chosen if r.feature == f) for f in FEATURES}
+
+
 def _binned(rows: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
     """Labelled rows counted by their bins, and the thresholds between bins."""
-    shares = ", ".join(f"{k / BINS}D" for k in range(1, BINS))
-    of_bad = rows.agg(*(F.expr(f"percentile_approx({sql}, array({shares}), 1000) FILTER (WHERE quality = 0)").alias(f"b_{f}") for f, sql in FEATURES.items()), *(F.expr(f"percentile_approx({sql}, array({shares}), 1000)").alias(f"a_{f}") for f, sql in FEATURES.items())).collect()[0]
-    cuts = {f: sorted({*(of_bad[f"b_{f}"] or []), *(of_bad[f"a_{f}"] or [])}) for f in FEATURES}
+    cuts = _cuts(rows)
 
     def place(f: str) -> Column:
         made = ", ".join(f"{c!r}D" for c in cuts[f])
         return F.expr(f"size(filter(array({made}), c -> c < {FEATURES[f]}))" if made else "0").alias(f)
 
     rows = rows.select("quality", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *(place(f) for f in FEATURES))
-    return stored(rows.groupBy("quality", "prune", *FEATURES).agg(F.count("*").alias("n")).coalesce(4), "binned"), cuts
+    return stored(rows.groupBy("quality", "prune", *FEATURES).agg(F.count("*").alias("n")), "binned"), cuts
 
 
 def _sql_on_bins(rule: Rule, cuts: dict[str, list[float]]) -> str:
@@ -167,7 +183,8 @@ def _pruned(rows: DataFrame, rule: Rule, cuts: dict[str, list[float]]) -> tuple[
 
 def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules that find texts of low quality, the first that holds decides."""
-    labelled = stats.join(labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
+    one_each = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    labelled = stored(stats.join(one_each, "doc_id"), "labelled")
     rows, cuts = _binned(labelled)
     rules: list[Rule] = []
     for _ in range(MOST_RULES):
