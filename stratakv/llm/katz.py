@@ -14,9 +14,9 @@ after h.
 
 Nothing that grows with the corpus is held in one place:
 
-1. ``counts``: words of the training texts are counted in ranges of hashes; only
-   totals, counts of counts and the words that make up more than 1 / HOT of all
-   tokens (HOT of them at most) reach the driver.
+1. ``counts``: words of the training texts are counted in ranges of hashes, whose
+   results are stored; one row of totals reaches the driver, and then the words
+   that make up more than 1 / HOT of all tokens (HOT of them at most).
 2. ``events``: each token of each text goes, with its history and row, to the
    range of its word; the few most common words are spread by their history as
    well.  There the pair's and the word's counts are known, so all terms of the
@@ -24,10 +24,12 @@ Nothing that grows with the corpus is held in one place:
    as tables, partitioned by kind: sums of rows, statistics of histories, pairs
    of history and row that back off, and counts of counts.
 3. ``weights``: history ranges work out a(h) and add the terms of the rows that
-   backed off.
+   backed off.  Statistics of the common words as histories, and the counts of
+   counts, are added up in ``SPREAD`` groups before they reach the driver.
 4. Sums meet by row.
 
-A word is known by a 64-bit hash, a history by 48 bits of it.
+A word is known by a 64-bit hash, a history by 48 bits of it: among 10^8 words
+about 18 pairs share those, and a shared history's weight is that of both.
 
 Cases: a null or empty text is the end token alone; long texts are scored whole;
 a null id belongs to the training rows; without training rows every word is
@@ -55,6 +57,7 @@ K = 5
 LARGE = 0.999
 HOT = 1000
 RANGE_BYTES = 12_000_000
+SPREAD = 64
 _U = np.uint64
 #: Hashes of the end token and of the history of a first word; no word has them but by chance.
 END, BEGIN = _U(0x4E1F0D5C9B3A7711), _U(0x9A3C5E7711224466)
@@ -137,9 +140,12 @@ def counts(texts: DataFrame, held_out: tuple[int, int]) -> Counts:
             key, n = merged()
             held.clear()
             part = _range(key, parts)
-            own = [np.flatnonzero(part == p) for p in range(parts)]
+            order = np.argsort(part, kind="stable")
+            key, n, cuts = key[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(cuts)).tolist() or [0]
+            own = [slice(cuts[p], cuts[p + 1]) for p in full]
             return pa.RecordBatch.from_arrays(
-                [pa.array(range(parts), pa.int32()), pa.array([pack(key[o], True) for o in own], pa.binary()), pa.array([pack(n[o]) for o in own], pa.binary()), pa.array([texts_seen] + [0] * (parts - 1), pa.int64())],
+                [pa.array(full, pa.int32()), pa.array([pack(key[o], True) for o in own], pa.binary()), pa.array([pack(n[o]) for o in own], pa.binary()), pa.array([texts_seen] + [0] * (len(full) - 1), pa.int64())],
                 ["part", "key", "n", "texts"],
             )
 
@@ -168,16 +174,29 @@ def counts(texts: DataFrame, held_out: tuple[int, int]) -> Counts:
         small = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
         return pa.table({"tokens": [int(total.sum())], "words": [len(total)], "large": [int(total[total > K].sum())], "small": [small.tolist()], "texts": [sum(rows.column("texts").to_pylist())], "key": [pack(key[top])], "n": [pack(total[top])]}).cast(pa.schema([("tokens", pa.int64()), ("words", pa.int64()), ("large", pa.int64()), ("small", pa.list_(pa.int64())), ("texts", pa.int64()), ("key", pa.binary()), ("n", pa.binary())]))
 
-    got = texts.select("doc_id", "text").mapInArrow(emit, "part int, key binary, n binary, texts long").groupBy("part").applyInArrow(add, "tokens long, words long, large long, small array<long>, texts long, key binary, n binary").collect()
-    tokens = sum(r.tokens for r in got)
-    small = np.sum([r.small for r in got], axis=0, dtype=np.int64) if got else np.zeros(K + 1, np.int64)
+    counted = texts.select("doc_id", "text").mapInArrow(emit, "part int, key binary, n binary, texts long").groupBy("part").applyInArrow(add, "tokens long, words long, large long, small array<long>, texts long, key binary, n binary")
+    counted = stored(counted, "katz_counts")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "words", "large", "texts")] + [F.coalesce(F.sum(F.col("small")[r]), F.lit(0)).alias(f"small_{r}") for r in range(K + 1)]
+    total = counted.agg(*sums).collect()[0]
+    tokens, small = total.tokens, [total[f"small_{r}"] for r in range(K + 1)]
     d = discounts({r + 1: int(n) for r, n in enumerate(small)})
-    weight = sum(d[r - 1] * r * int(small[r - 1]) for r in range(1, K + 1)) + LARGE * sum(r.large for r in got)
-    key = np.concatenate([np.zeros(0, np.uint64), *(unpack(r.key) for r in got)])
-    n = np.concatenate([np.zeros(0, np.uint64), *(unpack(r.n) for r in got)]).astype(np.int64)
-    common = np.flatnonzero(n > tokens // HOT)
-    common = common[np.argsort(key[common])]
-    return Counts(tokens, sum(r.words for r in got), sum(r.texts for r in got), float(weight), d, key[common], n[common], ranges)
+    weight = sum(d[r - 1] * r * int(small[r - 1]) for r in range(1, K + 1)) + LARGE * total.large
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words above 1 / HOT of all tokens: HOT at most over all ranges."""
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                many = unpack(n)
+                keys.append(unpack(k)[many > tokens // HOT]), counts.append(many[many > tokens // HOT])
+        if sum(map(len, keys)):
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(keys).tobytes()]), pa.array([np.concatenate(counts).tobytes()])], ["key", "n"])
+
+    got = counted.select("key", "n").mapInArrow(common, "key binary, n binary").collect()
+    key = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.key, np.uint64) for r in got)])
+    n = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.n, np.uint64) for r in got)]).astype(np.int64)
+    order = np.argsort(key)
+    return Counts(tokens, total.words, total.texts, float(weight), d, key[order], n[order], ranges)
 
 
 def _is_hot(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -311,16 +330,17 @@ def _work_events(c: Counts):
         pairs_back, times = np.unique(np.column_stack((history[back], row[back])), axis=0, return_counts=True)
         hot_histories = np.unique(np.append(c.hot & _HISTORY, BEGIN & _HISTORY))
         is_hot = _is_hot(h, hot_histories)
-        part_h = np.where(is_hot, -1, _range(h, c.ranges))
+        # Common histories are in all ranges; their statistics are added up in SPREAD groups.
+        part_h = np.where(is_hot, -1 - _range(h, SPREAD), _range(h, c.ranges))
         spread_b = _is_hot(pairs_back[:, 0], hot_histories)
         part_b = _range(np.where(spread_b, mix(pairs_back[:, 0] ^ mix(pairs_back[:, 1])), pairs_back[:, 0]), c.ranges)
         for p in np.unique(part_h).tolist():
             o = part_h == p
-            out.append(_record("h" if p >= 0 else "g", max(p, 0), pack(h[o], True), *(pack(s[o]) for s in stats[:-1]), _floats(stats[-1][o])))
+            out.append(_record("h" if p >= 0 else "g", p if p >= 0 else -1 - p, pack(h[o], True), *(pack(s[o]) for s in stats[:-1]), _floats(stats[-1][o])))
         for p in np.unique(part_b).tolist():
             o = part_b == p
             out.append(_record("u", p, pack(pairs_back[o, 0], True), pack(pairs_back[o, 1]), pack(times[o])))
-        out.append(_record("n", 0, pack(np.bincount(np.minimum(pair_count[seen], K + 2), minlength=K + 3)[1 : K + 2])))
+        out.append(_record("n", key[1].as_py() % SPREAD, pack(np.bincount(np.minimum(pair_count[seen], K + 2), minlength=K + 3)[1 : K + 2])))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -404,9 +424,9 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1)) -> DataFrame:
     c = counts(texts, held_out)
     events = texts.mapInArrow(_emit_events(c, held_out), TABLES).groupBy("kind", "part").applyInArrow(_work_events(c), TABLES)
     tables = stored(events, "katz", ("kind",))
-    small = [unpack(r.c0).astype(np.int64) for r in tables.where("kind = 'n'").select("c0").collect()]
+    small = [unpack(r.c0).astype(np.int64) for r in tables.where("kind = 'n'").groupBy("part").applyInArrow(_added, TABLES).select("c0").collect()]
     d = discounts({r + 1: int(n) for r, n in enumerate(np.sum(small, axis=0))} if small else {})
-    # At most HOT + 1 histories from each range.
+    # HOT + 1 histories at most, each in one group.
     common = tables.where("kind = 'g'").groupBy("part").applyInArrow(lambda t: _hot_stats(t), TABLES).collect()
     hot, stats = _history_stats([r.asDict() for r in common])
     weights = _log_weights(stats[0], stats[1:-1], stats[-1], d) if len(hot) else np.zeros(0)
@@ -415,6 +435,11 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1)) -> DataFrame:
     return every.groupBy("part").applyInArrow(_finish(c, d), RESULT)
 
 
+def _added(table_: pa.Table) -> pa.Table:
+    """Counts of counts of several ranges, added up."""
+    return pa.Table.from_batches([_batch([_record("n", 0, pack(np.sum([unpack(x) for x in table_.column("c0").to_pylist()], axis=0)))])])
+
+
 def _hot_stats(table_: pa.Table) -> pa.Table:
     h, stats = _history_stats(table_.to_pylist())
     return pa.Table.from_batches([_batch([_record("g", 0, pack(h, True), *(pack(s) for s in stats[:-1]), _floats(stats[-1]))])])
