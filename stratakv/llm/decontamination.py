@@ -21,7 +21,9 @@ hash of the item; each block's index is broadcast and met by one narrow pass
 over the training texts, so neither side is shuffled and the broadcast is
 bounded whatever the benchmark's size.
 
-Cases: null or empty texts and items match nothing; a null id is kept; repeated
+Cases: null or empty texts and items match nothing; very long texts are searched
+whole, and one that repeats its words in a longer period costs a step for each
+pair of equal seeds in text and item; a null id is kept; repeated
 rows are reported each; ties of agreement take the earliest place; with an empty
 table the result is empty; other columns are not carried into the matches.
 """
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import ALNUM, Words, mix, slices, words
+from ._sieve import passes
 from ._store import table
 
 #: Kept places of each mask, by its span.
@@ -47,6 +50,7 @@ LEAST = 16
 SIMILARITY = 0.8
 SHORTEST = 8
 BLOCK_BYTES = 4_000_000
+STEP = 1 << 20
 _MULT = np.random.default_rng(77).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,7 +81,7 @@ class Index:
     ids: list
     tokens: np.ndarray
     bounds: np.ndarray
-    parts: list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]  # mask, salt, sorted hash, item, place
+    parts: list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # mask, salt, sorted hash, item, place; where runs of one seed begin
     least: int
     similarity: float
 
@@ -96,33 +100,49 @@ class Index:
             if keys:
                 key, item, place = np.concatenate(keys), np.concatenate(items), np.concatenate(places)
                 order = np.lexsort((place, item, key))
-                index.parts.append((mask, salt, key[order], item[order], place[order]))
+                key, item, place = key[order], item[order], place[order]
+                begins = np.ones(len(key), bool)
+                begins[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
+                index.parts.append((mask, salt, key, item, place, np.flatnonzero(begins)))
         return index
 
     def prepare(self) -> None:
-        """Bit tables that tell most hashes from those of the items."""
+        """Bitmaps that tell most hashes from those of the items."""
         self.bits = []
-        for _, _, key, _, _ in self.parts:
+        for _, _, key, *_ in self.parts:
             size = max(16, int(np.ceil(np.log2(len(key) * 64))))
-            bit = np.zeros(1 << size, bool)
-            bit[key >> np.uint64(64 - size)] = True
-            self.bits.append((np.uint64(64 - size), bit))
+            at = (key >> np.uint64(64 - size)).astype(np.int64)
+            bitmap = np.zeros(1 << size - 3, np.uint8)
+            np.bitwise_or.at(bitmap, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            self.bits.append((size, bitmap))
 
     def hits(self, tokens: np.ndarray) -> np.ndarray:
-        """Distinct (place in the text minus place in the item, item) of all shared seeds; tokens of several texts may be end to end."""
-        found = []
-        for (mask, salt, key, item, place), (shift, bit) in zip(self.parts, self.bits, strict=True):
+        """Distinct (place in the text minus place in the item, item) of all shared seeds; tokens of several texts may be end to end.
+
+        Where a token is repeated, seeds follow each other that are equal.  Two such runs of L and M places have L + M - 1
+        differences, which the first place of either with all of the other gives; ``STEP`` pairs are held at a time.
+        """
+        found = np.zeros((0, 2), np.int64)
+        for (mask, salt, key, item, place, begins), bits in zip(self.parts, self.bits, strict=True):
             own = seeds(tokens, mask, salt)
-            at = np.flatnonzero(bit[own >> shift])
+            at = np.flatnonzero(passes(bits, own))
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(key, own[at], "left"), np.searchsorted(key, own[at], "right")
-            count = hi - lo
-            if not count.any():
-                continue
-            k = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            found.append(np.column_stack((np.repeat(at, count) - place[k], item[k])))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            repeats = np.zeros(len(own), bool)
+            repeats[1:] = own[1:] == own[:-1]
+            for places, entries in ((at[~repeats[at]], np.arange(len(key))), (at[repeats[at]], begins)):
+                keys = key[entries]
+                lo, hi = np.searchsorted(keys, own[places], "left"), np.searchsorted(keys, own[places], "right")
+                some = hi > lo
+                places, lo, count = places[some], lo[some], (hi - lo)[some]
+                ends = np.concatenate(([0], np.cumsum(count)))
+                a = 0
+                while a < len(places):
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, "right")) - 1)
+                    k = entries[np.repeat(lo[a:b] - ends[a:b], count[a:b]) + np.arange(ends[a], ends[b])]
+                    found = np.unique(np.concatenate((found, np.column_stack((np.repeat(places[a:b], count[a:b]) - place[k], item[k])))), axis=0)
+                    a = b
+        return found
 
     def verify(self, tokens: np.ndarray, diagonal: int, item: int) -> tuple[int, int, int, int] | None:
         """(start, end, equal, compared) of the best stretch along a diagonal, in tokens of the text; None if it is too unlike."""
@@ -139,7 +159,6 @@ class Index:
         start, end = int(good[0]), int(good[-1]) + need
         return lo + start, lo + end, int(total[end] - total[start]), end - start
 
-
     def overlaps(self, texts: Words) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
         """(text, item, best stretch) of all alignments that hold.
 
