@@ -34,8 +34,9 @@ class _Parser:
         self.step.append(None)
         return len(self.eps) - 1
 
-    def rule(self, pattern: str) -> tuple[int, int]:
-        self.text, self.at, self.fold = pattern, 0, False
+    def rule(self, pattern: str, backward: bool = False) -> tuple[int, int]:
+        """backward: for the rule's matches read from their ends."""
+        self.text, self.at, self.fold, self.backward = pattern, 0, False, backward
         first, last = self.build(self.either())
         if self.at != len(pattern):
             raise ValueError(f"unexpected {pattern[self.at]!r} at {self.at} in {pattern!r}")
@@ -125,7 +126,7 @@ class _Parser:
             last = self.state()
             self.step[first] = (item[1], last)
         elif item[0] == "seq":
-            for x in item[1]:
+            for x in reversed(item[1]) if self.backward else item[1]:
                 a, b = self.build(x)
                 self.eps[last].append(a)
                 last = b
@@ -159,13 +160,14 @@ class _Parser:
 class Automaton:
     """moves: one row of 256 next states for each state; accepts: bits of the rules that end in each state; state 0 is dead, 1 the first."""
 
-    def __init__(self, rules: list[str], anywhere: bool = False) -> None:
-        """anywhere: a match may begin at any byte, not at the first alone."""
+    def __init__(self, rules: list[str], anywhere: bool = False, backward: bool = False) -> None:
+        """anywhere: a match may begin at any byte, not at the first alone. backward: bytes are read from the last to the first."""
+        self.backward = backward
         p = _Parser()
         ends = {}
         start = p.state()
         for i, rule in enumerate(rules):
-            first, last = p.rule(rule)
+            first, last = p.rule(rule, backward)
             p.eps[start].append(first)
             ends[last] = 1 << i
         sets = {s for s in p.step if s}
@@ -250,12 +252,21 @@ class Automaton:
     def seen(self, data: bytes) -> int:
         """Bits of the rules with a match somewhere (of an ``anywhere`` automaton): one pass, one look-up a byte."""
         row, bits = self.rows[1], 0
-        for b in data:
+        for b in reversed(data) if self.backward else data:
             row = row[b]
             if row[256]:
                 bits |= row[256]
         return bits
 
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """(place, bits) of the bytes at which a match of some rule begins, from the last (of an ``anywhere``, ``backward`` automaton): one pass."""
+        out, row = [], self.rows[1]
+        for i, b in enumerate(reversed(data), 1):
+            row = row[b]
+            if row[256]:
+                out.append((len(data) - i, row[256]))
+        return out
+
     def longest(self, data: bytes, at: int, rule_bits: int = -1) -> int:
         """Where the longest match of the rules that begins at ``at`` ends; -1 without one."""
         row, dead, end = self.rows[1], self.rows[0], -1
@@ -266,18 +277,3 @@ class Automaton:
             if row[256] & rule_bits:
                 end = i + 1
         return end
-
-    def spans(self, data: bytes) -> list[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping matches."""
-        out, at, n, first, dead = [], 0, len(data), self.rows[1], self.rows[0]
-        while at < n:
-            if first[data[at]] is dead:
-                at += 1
-                continue
-            end = self.longest(data, at)
-            if end > at:
-                out.append((at, end))
-                at = end
-            else:
-                at += 1
-        return out

@@ -1,12 +1,15 @@
 """Secrets in text, by one deterministic automaton over all rules.
 
-Every text is read once by a combined automaton that may start a match at any
-byte; its final state tells which rules have a match somewhere.  Only for those
-rules are the spans worked out, with the rule's own automaton.  Rules are given
-as expressions (see ``automaton``), with the least length of the part that
-holds the secret; a match that is too short is dropped without another try.
-
-Cases: a null or empty text has no spans; ties of start are ordered by rule;
+All rules are compiled into one minimal deterministic automaton that reads a text
+once, from its last byte to its first: after each byte its state tells the rules
+of which a match begins there.  (A text with such a place, which few have, is
+read so again to note the places.)  The matches themselves are then followed from
+their starts, so no byte is tried from a start that leads nowhere, and the time
+is linear in the text.  Rules are given as expressions (see ``automaton``), with
+the least length of the part that holds the secret; a match that is too short is
+dropped without another try.
+
+Cases: a null or empty text has no spans; a very long text is read whole; ties of start are ordered by rule;
 nulls in other columns and other columns pass through; an empty table gives
 none; repeated rows are scanned each.
 """
@@ -29,51 +32,63 @@ from .automaton import Automaton
 
 @dataclass(frozen=True)
 class Rule:
-    """expression = lead + body; a match counts if its body has at least ``least`` bytes. hint: an expression that every such match contains."""
+    """expression = lead + body; a match counts if its body has at least ``least`` bytes.
+
+    from_run: the body's runs that are shorter cannot hide a longer match, so the combined automaton asks for ``least`` bytes itself.
+    """
 
     kind: str
     lead: str
     body: str
     least: int
-    hint: str
+    from_run: bool = False
+
+    @property
+    def sought(self) -> str:
+        return self.body.removesuffix("+") + f"{{{self.least}}}" if self.from_run else self.lead + self.body
 
 
 #: The rules of the base, in the order of their kinds; values fixed by the contract.
 BASE = (
-    Rule("assign", "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?", "[A-Za-z0-9+/_.=-]+", 6, "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"),
-    Rule("access", "", "AKIA[A-Z0-9]+", 20, "AKIA[A-Z0-9]{4}"),
-    Rule("hex", "", "[0-9a-f]+", 24, "[0-9a-f]{24}"),
+    Rule("assign", "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?", "[A-Za-z0-9+/_.=-]+", 6),
+    Rule("access", "", "AKIA[A-Z0-9]+", 20),
+    Rule("hex", "", "[0-9a-f]+", 24, True),
 )
 
 #: Further well-known forms of credentials.
 ADDED = (
-    Rule("github", "", "gh[opsru]_[A-Za-z0-9]+", 40, "gh[opsru]_[A-Za-z0-9]{2}"),
-    Rule("slack", "", "xox[abprs]-[A-Za-z0-9-]+", 15, "xox[abprs]-[A-Za-z0-9]"),
-    Rule("google", "", "AIza[A-Za-z0-9_-]+", 39, "AIza[A-Za-z0-9_-]"),
-    Rule("stripe", "", "[rs]k_(live|test)_[A-Za-z0-9]+", 24, "[rs]k_(live|test)_"),
-    Rule("jwt", "", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 40, "eyJ[A-Za-z0-9_-]"),
-    Rule("private_key", "", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1, "PRIVATE KEY-----"),
+    Rule("github", "", "gh[opsru]_[A-Za-z0-9]+", 40),
+    Rule("slack", "", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", "", "AIza[A-Za-z0-9_-]+", 39),
+    Rule("stripe", "", "[rs]k_(live|test)_[A-Za-z0-9]+", 24),
+    Rule("jwt", "", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 40),
+    Rule("private_key", "", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1),
 )
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
-        self.combined = Automaton([r.hint for r in rules], anywhere=True)
+        self.combined = Automaton([r.sought for r in rules], anywhere=True, backward=True)
         self.whole = [Automaton([r.lead + r.body]) for r in rules]
         self.lead = [Automaton([r.lead]) if r.lead else None for r in rules]
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes, in order."""
-        bits = self.combined.seen(data)
-        out = []
-        for k, rule in enumerate(self.rules):
-            if bits >> k & 1:
-                for a, b in self.whole[k].spans(data):
-                    body = self.lead[k].longest(data, a) if self.lead[k] else a
-                    if b - body >= rule.least:
-                        out.append((a, k, b))
-        return sorted(out)
+        """(start, rule, end) in bytes, in order: leftmost, longest, non-overlapping matches of each rule."""
+        if not self.combined.seen(data):
+            return []
+        out, free = [], [0] * len(self.rules)
+        for a, bits in reversed(self.combined.starts(data)):
+            while bits:
+                k = (bits & -bits).bit_length() - 1
+                bits &= bits - 1
+                if a < free[k]:
+                    continue
+                free[k] = b = self.whole[k].longest(data, a)
+                body = self.lead[k].longest(data, a) if self.lead[k] else a
+                if b - body >= self.rules[k].least:
+                    out.append((a, k, b))
+        return out
 
 
 @lru_cache(maxsize=4)
