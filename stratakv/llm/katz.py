@@ -41,7 +41,7 @@ no rows; columns other than doc_id and text are not carried.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,6 +58,7 @@ LARGE = 0.999
 HOT = 1000
 RANGE_BYTES = 12_000_000
 SPREAD = 64
+FLUSH_TOKENS = 2_500_000
 _U = np.uint64
 #: Hashes of the end token and of the history of a first word; no word has them but by chance.
 END, BEGIN = _U(0x4E1F0D5C9B3A7711), _U(0x9A3C5E7711224466)
@@ -266,7 +267,7 @@ def _emit_events(c: Counts, held_out: tuple[int, int]):
                 part = _row_part(rows, c.ranges)
                 yield _batch([_record("m", int(p), pack(rows[o], True), np.ascontiguousarray(ids.fill_null(0).to_numpy()[o]).tobytes(), pack(ids.is_null().to_numpy(zero_copy_only=False)[o]), pack(~train[o])) for p in np.unique(part) for o in [np.flatnonzero(part == p)]])
                 size += len(token)
-                if size > 5_000_000:
+                if size > FLUSH_TOKENS:
                     yield flush()
                     size = 0
         if held:
@@ -275,10 +276,12 @@ def _emit_events(c: Counts, held_out: tuple[int, int]):
     return run
 
 
-def _sums(rows: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _sums(rows: np.ndarray, values: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums by row; values are made one after the other, so that one is held at a time."""
     order = np.argsort(rows, kind="stable")
-    bounds = runs(rows[order])
-    return rows[order][bounds[:-1]], [np.add.reduceat(v[order], bounds[:-1]) if len(rows) else v for v in values]
+    ordered = rows[order]
+    bounds = runs(ordered)
+    return ordered[bounds[:-1]], [np.add.reduceat(v[order], bounds[:-1]) if len(rows) else v for v in values]
 
 
 def _work_events(c: Counts):
@@ -296,6 +299,7 @@ def _work_events(c: Counts):
         del got
         order = np.lexsort((history, word))
         word, history, row, train = word[order], history[order], row[order], train[order]
+        del order
         pair_new = np.ones(len(word), bool)
         pair_new[1:] = (word[1:] != word[:-1]) | (history[1:] != history[:-1])
         first = np.flatnonzero(pair_new)
@@ -318,7 +322,8 @@ def _work_events(c: Counts):
         # Each word but the end is the history of one more event, and that event is divided by its count.
         value = np.where(seen, log_pair, log_p) - np.where(word[first] == END, 0.0, log_word)
         band = np.where(seen, np.minimum(pair_count, K + 1), 0)
-        rows, sums = _sums(row, [np.ones(len(row), np.int64), (pair_total[pair] > 0).astype(np.int64), base[pair], value[pair], *((band[pair] == r).astype(np.int64) for r in range(1, K + 2))])
+        of_event = (lambda: np.ones(len(row), np.int64), lambda: (pair_total > 0).astype(np.int64)[pair], lambda: base[pair], lambda: value[pair], *(lambda r=r: (band == r).astype(np.int64)[pair] for r in range(1, K + 2)))
+        rows, sums = _sums(row, (make() for make in of_event))
         out = []
         part = _row_part(rows, c.ranges)
         for p in np.unique(part).tolist():
