@@ -5,6 +5,9 @@ their ends two steps at a time, and replaces nodes by the ends; edges inside one
 component vanish.  The rounds needed grow with the logarithm of a component's
 size.  Tables are stored after each round, so plans stay short and lost
 executors cost one round at most.
+
+Cases: edges with a null end join nothing; loops and repeated edges do no harm;
+an empty table gives none; other columns are not carried.
 """
 
 from __future__ import annotations

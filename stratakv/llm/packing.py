@@ -13,7 +13,9 @@ and a lot that is lost with its executor is packed again alone.  A lot leaves
 open sequences only at its end, so the waste is a fraction of 1 / lot.
 
 Cases: a null or empty text is one piece that holds the separator alone; a null
-doc_id is kept; repeated rows are packed each; an empty table gives no rows;
+doc_id is kept; repeated rows are packed each; a very long text is tokenised
+whole; where several gaps are as good, the smallest is taken; an empty table
+gives no rows;
 other columns of the input, whatever their names, are not carried.
 """
 

@@ -20,7 +20,8 @@ the large groups, about shards x PARTS at most; places within a shard or a large
 group come from bucket counts and a window over one small bucket each.
 
 Cases: a null text counts as empty; null ids and repeated rows are rows like
-others; ties of wishes fall by a hash; with fewer rows than shards some shards
+others; a very long text counts by its digest and size alone; ties of wishes
+fall by a hash; with fewer rows than shards some shards
 stay empty; an empty table gives no rows; columns of the input other than
 doc_id and text are not carried.
 """
