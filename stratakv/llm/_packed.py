@@ -6,7 +6,10 @@ as differences, bytes of equal weight stand together, and zstd takes the rest.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 _U = np.uint64
@@ -36,6 +39,15 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))
 
 
+def give_back() -> None:
+    """Returns memory that is no longer used to the system; a worker otherwise keeps what its largest range took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a C library without it
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, np.uint64).view(np.int64)
 

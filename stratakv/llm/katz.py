@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import mix, slices, words
-from ._packed import pack, runs, unpack
+from ._packed import give_back, pack, runs, unpack
 from ._store import stored, table
 
 K = 5
@@ -270,8 +270,10 @@ def _emit_events(c: Counts, held_out: tuple[int, int]):
                 if size > FLUSH_TOKENS:
                     yield flush()
                     size = 0
+                    give_back()
         if held:
             yield flush()
+        give_back()
 
     return run
 
@@ -346,7 +348,9 @@ def _work_events(c: Counts):
             o = part_b == p
             out.append(_record("u", p, pack(pairs_back[o, 0], True), pack(pairs_back[o, 1]), pack(times[o])))
         out.append(_record("n", key[1].as_py() % SPREAD, pack(np.bincount(np.minimum(pair_count[seen], K + 2), minlength=K + 3)[1 : K + 2])))
-        return pa.Table.from_batches([_batch(out)])
+        made = pa.Table.from_batches([_batch(out)])
+        give_back()
+        return made
 
     return run
 
