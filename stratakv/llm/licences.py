@@ -1,20 +1,23 @@
 """Licence detection with a positional index of rare tokens.
 
-Templates are short licence texts and notices.  Inverse document frequencies of
-their words are counted over all documents; each template enters the index with
-its ``RARE`` distinct words of highest frequency weight, at all their places.
-A file looks up those of its words that the index has.  Each posting proposes
-the file place at which the template would begin; proposals that agree for at
-least ``VOTES`` distinct words (all, where the template has fewer) are followed
-up: the template is laid over the file there, words may have moved by up to
-``SLACK`` places, and the share of the template's weight that is found is the
-score.  A label needs a score of ``LEAST`` and each of the template's key
-phrases, word for word, inside the stretch.
+Templates are licence notices and paragraphs of licences.  Inverse document
+frequencies of their words are counted over all documents.  A template matches
+where it can be laid over a file so that the words found, each within ``SLACK``
+places of its own, have ``LEAST`` of the template's weight; its label also needs
+each of its key phrases, word for word, inside the stretch.
+
+A file takes up only the templates of whose weight it has enough words anywhere.
+For each it looks up the rarest of those words: as few as leave it certain that
+any match has ``VOTES`` of them (fewer, where no choice can make that certain).
+Each posting of such a word tells a place at which the template would begin, and
+places at which so many words agree are followed up, all of them.  So no match
+is lost, and labels and scores are those of a search that tries every place.
+The score is that of the best match, 0 without one and 1 with a base phrase.
 
 Besides, the base looks for fixed phrases in every text.
 
 Words are runs of letters and digits, ASCII letters folded; a null or empty text
-has none; long texts are searched whole; where several templates of a label
+has none; long texts are searched whole, in stretches of bounded memory; where several templates of a label
 match, the best score counts; repeated rows are searched each; an empty table
 gives no rows; other columns pass through, and those named as results are
 replaced.
@@ -33,10 +36,14 @@ from pyspark.sql import functions as F
 from ._blocks import ALNUM, slices, words
 from ._store import table
 
-RARE = 6
 VOTES = 3
 SLACK = 3
 LEAST = 0.75
+EPS = 1e-9
+
+#: Places to begin that are searched at once, and that are laid over a file at once.
+STRETCH = 1 << 17
+ALIGNED = 4096
 
 #: Fixed values of the base: label and phrase.
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -63,6 +70,14 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc-by", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge", "this permission notice shall be included")),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("origin of this software must not be misrepresented",)),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("governing permissions and limitations under the license",)),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license for more details",)),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", ("gnu lesser general public license for more details",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy modify publish use compile sell or distribute",)),
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means", ("no part of this publication may be reproduced",)),
 )
 
@@ -82,77 +97,137 @@ def _runs(hashes: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at
 
 
+@dataclass
+class Template:
+    label: str
+    words: np.ndarray  # the lexicon's number of each word
+    weights: np.ndarray  # of each word
+    falling: np.ndarray  # distinct words, the rarest first
+    mass: np.ndarray  # their weights, all their places together
+    keys: list[np.ndarray]  # key phrases, as numbers
+
+
+def _agreed(begins: np.ndarray, word: np.ndarray, low: int, high: int, slack: int, need: int) -> np.ndarray:
+    """Places from ``low`` to before ``high`` near which (within the slack) ``need`` distinct words let the template begin."""
+    votes = np.zeros(high - low, np.int16)
+    for w in np.unique(word):
+        mine = begins[word == w]
+        edge = np.zeros(high - low + 1, np.int32)
+        np.add.at(edge, np.clip(mine - slack, low, high) - low, 1)
+        np.add.at(edge, np.clip(mine + slack + 1, low, high) - low, -1)
+        votes += np.cumsum(edge[:-1]) > 0
+    return low + np.flatnonzero(votes >= need)
+
+
 @dataclass
 class Index:
-    templates: list[tuple[str, np.ndarray, np.ndarray, list[np.ndarray]]]  # label, words, weights, key phrases
-    keys: np.ndarray  # sorted hashes of the rare words
-    begins: np.ndarray  # of each key's postings
-    posted: np.ndarray  # (template, place, key)
-    needs: np.ndarray  # votes by template
+    known: np.ndarray  # sorted hashes of the templates' words
+    templates: list[Template]
+    mass: np.ndarray  # (template, word): weight of all places of the word
+    votes: int = VOTES
+    slack: int = SLACK
+    least: float = LEAST
 
     @staticmethod
-    def build(templates, weight: dict[int, float], rare: int = RARE, votes: int = VOTES) -> Index:
-        made, postings, needs = [], [], []
+    def build(templates, weight: dict[int, float], votes: int = VOTES, slack: int = SLACK, least: float = LEAST) -> Index:
+        known = lexicon(templates)
+        number = {int(h): i for i, h in enumerate(known)}
+        made, mass = [], np.zeros((len(templates), len(known)))
         for t, (label, text, keys) in enumerate(templates):
-            own = _hashes(text)
-            weights = np.array([weight[int(h)] for h in own])
-            best = sorted(dict.fromkeys(own.tolist()), key=lambda h: (-weight[h], h))[:rare]
-            postings += [(h, t, j) for j, h in enumerate(own.tolist()) if h in best]
-            needs.append(min(votes, len(best)))
-            made.append((label, own, weights, [_hashes(k) for k in keys]))
-        postings.sort()
-        keys, begins = np.unique(np.array([p[0] for p in postings], np.uint64), return_index=True)
-        which = np.searchsorted(keys, np.array([p[0] for p in postings], np.uint64))
-        posted = np.array([(t, j, k) for (_, t, j), k in zip(postings, which.tolist(), strict=True)], np.int64).reshape(-1, 3)
-        return Index(made, keys, np.append(begins, len(postings)), posted, np.array(needs))
-
-    def look_up(self, own: np.ndarray, slack: int = SLACK, least: float = LEAST) -> tuple[set[str], float]:
-        """Labels of a file's words, and the best score of any alignment."""
-        k = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        at = np.flatnonzero(self.keys[k] == own)
-        if not len(at):
-            return set(), 0.0
-        count = self.begins[k[at] + 1] - self.begins[k[at]]
-        place = np.repeat(self.begins[k[at]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        template, begin, key = self.posted[place, 0], np.repeat(at, count) - self.posted[place, 1], self.posted[place, 2]
-        # Agreement within the slack: begins are taken in steps, each proposal for its own step and the one before.
-        step = begin // (slack + 1)
-        votes = np.unique(np.concatenate((np.column_stack((template, step, key)), np.column_stack((template, step - 1, key)))), axis=0)
-        groups, agreed = np.unique(votes[:, :2], axis=0, return_counts=True)
-        labels, best, tried = set(), 0.0, set()
-        low, width = int(step.min()) - 1, int(step.max() - step.min()) + 3
-        place_key = template * width + step - low
-        order = np.argsort(place_key, kind="stable")
-        place_key, begin = place_key[order], begin[order]
-        for t, s in groups[agreed >= self.needs[groups[:, 0]]].tolist():
-            key = t * width + s - low
-            mine = begin[np.searchsorted(place_key, key, "left") : np.searchsorted(place_key, key + 1, "right")]
-            values, counts = np.unique(mine, return_counts=True)
-            start = int(values[np.argmax(counts)])
-            if (t, start) in tried:
+            own = np.array([number[h] for h in _hashes(text).tolist()], np.int64)
+            if not len(own):
+                raise ValueError(f"template {t} ({label}) has no words")
+            weights = np.array([weight[h] for h in _hashes(text).tolist()])
+            if not weights.any():
+                weights = np.ones(len(own))
+            np.add.at(mass[t], own, weights)
+            each = dict(zip(own.tolist(), weights.tolist(), strict=True))
+            falling = np.array(sorted(each, key=lambda i: (-each[i], i)), np.int64)
+            phrases = [np.array([number[h] for h in _hashes(k).tolist()], np.int64) for k in keys]
+            made.append(Template(label, own, weights, falling, mass[t, falling], phrases))
+        return Index(known, made, mass, votes, slack, least)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The lexicon's number of each word, -1 for others."""
+        k = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[k] == hashes, k, -1)
+
+    def within_reach(self, rows: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+        """(row, template): whether the row has words enough, wherever they stand."""
+        has = np.zeros((n, len(self.known)), np.float32)
+        at = np.flatnonzero(numbers >= 0)
+        has[rows[at], numbers[at]] = 1
+        return has @ self.mass.T.astype(np.float32) >= self.least * self.mass.sum(axis=1) * (1 - 1e-5)
+
+    def rarest(self, template: Template, has: np.ndarray) -> tuple[np.ndarray, int]:
+        """The file's rarest words of the template, as few as will do, and how many of them any alignment that scores enough must have."""
+        mine = has[template.falling]
+        chosen, mass = template.falling[mine], template.mass[mine]
+        lost = mass.sum() - self.least * template.mass.sum()  # what an alignment may lack of the words that the file has
+        for need in range(min(self.votes, len(chosen)), 1, -1):
+            for n in range(need, len(chosen) + 1):
+                if np.sort(mass[:n])[: n - need + 1].sum() > lost + EPS:
+                    return chosen[:n], need
+        n = int(np.searchsorted(np.cumsum(mass), lost + EPS, "right")) + 1
+        return chosen[:n], 1
+
+    def look_up(self, own: np.ndarray, reached: np.ndarray) -> tuple[set[str], float]:
+        """Labels of a file's words, given as numbers, and the best score of the alignments that score enough; ``reached``: templates to look for."""
+        labels, best = set(), 0.0
+        places = np.flatnonzero(own >= 0)
+        has = np.zeros(len(self.known), bool)
+        has[own[places]] = True
+        for t in reached.tolist():
+            template, slack = self.templates[t], self.slack
+            size = len(template.words)
+            chosen, need = self.rarest(template, has)
+            posted = np.flatnonzero(np.isin(template.words, chosen))
+            of = [posted[template.words[posted] == w] for w in chosen]
+            at = places[np.isin(own[places], chosen)]
+            if not len(at):
                 continue
-            tried.add((t, start))
-            score, holds = self._verify(own, t, start, slack)
-            best = max(best, score)
-            if holds and score >= least:
-                labels.add(self.templates[t][0])
-        return labels, best
-
-    def _verify(self, own: np.ndarray, t: int, start: int, slack: int) -> tuple[float, bool]:
-        _, wanted, weights, keys = self.templates[t]
-        found = np.zeros(len(wanted), bool)
-        places = start + np.arange(len(wanted))
-        for shift in range(-slack, slack + 1):
+            phrases = None
+            for low in range(int(at[0]) - size - slack, int(at[-1]) + slack + 1, STRETCH):
+                high = min(low + STRETCH, int(at[-1]) + slack + 1)
+                near = at[np.searchsorted(at, low - slack) : np.searchsorted(at, high + size + slack)]
+                begins = [(near[own[near] == w][:, None] - js).ravel() for w, js in zip(chosen.tolist(), of, strict=True)]
+                word = np.repeat(np.arange(len(chosen)), [len(b) for b in begins])
+                starts = _agreed(np.concatenate(begins), word, low, high, slack, need)
+                for some in np.array_split(starts, len(starts) // ALIGNED + 1):
+                    scores = self._scores(own, template, some)
+                    good = scores >= self.least - EPS
+                    if not good.any():
+                        continue
+                    best = max(best, float(scores.max()))
+                    if template.label not in labels:
+                        phrases = phrases or [(_runs(own, k), len(k)) for k in template.keys]
+                        if _holds(phrases, some[good], size, slack).any():
+                            labels.add(template.label)
+        return labels, min(best, 1.0)
+
+    def _scores(self, own: np.ndarray, template: Template, starts: np.ndarray) -> np.ndarray:
+        """The share of the template's weight that stands within the slack of its place, for each place to begin."""
+        found = np.zeros((len(starts), len(template.words)), bool)
+        places = starts[:, None] + np.arange(len(template.words))
+        for shift in range(-self.slack, self.slack + 1):
             p = places + shift
             inside = (p >= 0) & (p < len(own))
-            found[inside] |= own[p[inside]] == wanted[inside]
-        stretch = own[max(0, start - slack) : max(0, start + len(wanted) + slack)]
-        total = weights.sum()
-        return float(weights[found].sum() / total) if total else float(found.mean()), all(len(_runs(stretch, k)) for k in keys)
+            found |= inside & (own[np.where(inside, p, 0)] == template.words)
+        return found @ template.weights / template.weights.sum()
+
+
+def _holds(phrases: list[tuple[np.ndarray, int]], starts: np.ndarray, size: int, slack: int) -> np.ndarray:
+    """Whether each key phrase stands inside the stretch, for each place to begin."""
+    out = np.ones(len(starts), bool)
+    for at, n in phrases:
+        first = np.searchsorted(at, starts - slack)
+        out &= np.append(at, np.iinfo(np.int64).max)[first] <= starts + size + slack - n
+    return out
 
 
 def lexicon(templates=TEMPLATES) -> np.ndarray:
-    return np.unique(np.concatenate([_hashes(text) for _, text, _ in templates]))
+    """Hashes of the words of all templates and key phrases."""
+    return np.unique(np.concatenate([_hashes(x) for _, text, keys in templates for x in (text, *keys)]))
 
 
 def word_weights(docs: DataFrame, templates=TEMPLATES) -> dict[int, float]:
@@ -201,16 +276,17 @@ def detect(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
                     for p, r in zip(at.tolist(), row_of[at].tolist(), strict=True):
                         places[r].append(p - int(w.bounds[r]))
                         base_labels[r].add(label)
-                k = np.minimum(np.searchsorted(index.keys, w.hashes), len(index.keys) - 1)
                 labels, score = [set(x) for x in base_labels], np.array([1.0 if x else 0.0 for x in base_labels])
-                for r in np.unique(row_of[index.keys[k] == w.hashes]).tolist():
-                    more, best = index.look_up(w.hashes[w.bounds[r] : w.bounds[r + 1]])
+                numbers = index.numbers(w.hashes)
+                reached = index.within_reach(row_of, numbers, n)
+                for r in np.flatnonzero(reached.any(axis=1)).tolist():
+                    more, best = index.look_up(numbers[w.bounds[r] : w.bounds[r + 1]], np.flatnonzero(reached[r]))
                     labels[r] |= more
                     score[r] = max(score[r], best)
                 joined = [",".join(sorted(x)) for x in labels]
                 made = [
                     pa.array(w.counts, pa.int64()), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
-                    pa.array([",".join(sorted(x)) for x in base_labels]), pa.array(joined), pa.array(np.minimum(score, 1.0)),
+                    pa.array([",".join(sorted(x)) for x in base_labels]), pa.array(joined), pa.array(score),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 

@@ -456,5 +456,94 @@ def test_licences(spark, edges, nothing):
     assert out.columns == [c for c in edges.columns if c not in made] + made
 
 
+def brute_licences(index, own):
+    """Labels and best score by trying every place for every template."""
+    labels, best, own = set(), 0.0, own.tolist()
+    for template in index.templates:
+        wanted = template.words.tolist()
+        for start in range(-len(wanted) - index.slack, len(own) + index.slack + 1):
+            near = [own[max(0, start + j - index.slack) : max(0, start + j + index.slack + 1)] for j in range(len(wanted))]
+            score = sum(w for x, w, some in zip(wanted, template.weights.tolist(), near, strict=True) if x in some) / template.weights.sum()
+            if score < index.least - licences.EPS:
+                continue
+            best = max(best, score)
+            stretch = own[max(0, start - index.slack) : max(0, start + len(wanted) + index.slack)]
+            if all(any(stretch[p : p + len(k)] == k.tolist() for p in range(len(stretch) - len(k) + 1)) for k in template.keys):
+                labels.add(template.label)
+    return labels, best
+
+
+def licence_texts(rng, n):
+    """Templates with words dropped, replaced, added or moved, between other words and licence words in any order."""
+    every = [w for _, text, _ in licences.TEMPLATES for w in text.split()]
+    for _ in range(n):
+        out = []
+        for _ in range(rng.randint(1, 2)):
+            own = rng.choice(licences.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, max(1, len(own) // 3))):
+                j = rng.randrange(len(own))
+                change = rng.randrange(4)
+                if change == 0 and len(own) > 3:
+                    del own[j]
+                elif change == 1:
+                    own[j] = rng.choice([*every, "other"])
+                elif change == 2:
+                    own.insert(j, "more")
+                else:
+                    own.insert(min(len(own), j + rng.randint(1, 4)), own.pop(j))
+            out += rng.choices([*every, *"abcdefgh"], k=rng.randint(0, 12)) + own
+        yield " ".join(out)
+
+
+@pytest.mark.parametrize("weights", ["equal", "zero", "rare", "few"])
+def test_licence_search_is_exact(weights):
+    rng = random.Random(8)
+    weigh = {"equal": lambda: 1.0, "zero": lambda: 0.0, "rare": lambda: rng.expovariate(0.3), "few": lambda: rng.choice([0.0, 0.0, 0.1, 9.0])}[weights]
+    index = licences.Index.build(licences.TEMPLATES, {int(h): weigh() for h in licences.lexicon()})
+    found = 0
+    for text in licence_texts(rng, 25):
+        hashes = licences._hashes(text)
+        own = index.numbers(hashes)
+        reached = index.within_reach(np.zeros(len(own), np.int64), own, 1)[0]
+        labels, best = index.look_up(own, np.flatnonzero(reached))
+        want, score = brute_licences(index, own)
+        assert labels == want and best == pytest.approx(score), text
+        found += bool(labels)
+    assert found >= 5
+
+
+def test_altered_licences_are_found():
+    """A word in twelve replaced anywhere but in the key phrases: every template is still found; without its key phrases none is."""
+    rng = random.Random(9)
+    index = licences.Index.build(licences.TEMPLATES, {int(h): 1.0 for h in licences.lexicon()})
+
+    def labels(own):
+        numbers = index.numbers(licences._hashes(" ".join(own)))
+        return index.look_up(numbers, np.flatnonzero(index.within_reach(np.zeros(len(numbers), np.int64), numbers, 1)[0]))[0]
+
+    for label, text, keys in licences.TEMPLATES:
+        own = text.split()
+        kept = {p + j for k in keys for p in range(len(own)) if own[p : p + len(k.split())] == k.split() for j in range(len(k.split()))}
+        free = [j for j in range(len(own)) if j not in kept]
+        for _ in range(5):
+            changed = list(own)
+            for j in rng.sample(free, min(len(free), len(own) // 12)):
+                changed[j] = "other"
+            assert label in labels(["x", "y"] * 30 + changed + ["z"] * 30)
+        assert label not in labels(["other" if j in kept else w for j, w in enumerate(own)])
+
+
+def test_long_licence_texts():
+    index = licences.Index.build(licences.TEMPLATES, {int(h): 1.0 for h in licences.lexicon()})
+    whole = " ".join(text for _, text, _ in licences.TEMPLATES)
+    for text in ((whole + " ") * 400, "gnu general public license version 3 " * 40_000):
+        own = index.numbers(licences._hashes(text))
+        begun = time.perf_counter()
+        index.look_up(own, np.flatnonzero(index.within_reach(np.zeros(len(own), np.int64), own, 1)[0]))
+        assert time.perf_counter() - begun < 20
+    stretched = index.numbers(licences._hashes("x " * (licences.STRETCH - 15) + licences.TEMPLATES[1][1]))
+    assert index.look_up(stretched, np.arange(len(index.templates)))[0] == {"mit"}
+
+
 def test_clashes_are_there(edges):
     assert set(CLASHES) <= set(edges.columns)
