@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ._store import stored, table
@@ -40,18 +40,29 @@ ROUNDS = 5
 PARTS = 8
 BUCKETS = 256
 BUCKET_ROWS = 20_000
+UPPER = 1024
 GROUP_BUCKETS = 64
 
 
+def _before(window: WindowSpec) -> Column:
+    """The sum of _n over the rows before."""
+    return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def indexed(df: DataFrame, group: str, key: str, rows: int, into: str, buckets: int = 1) -> DataFrame:
     """A gapless number from 0 within each group, for rows with a unique ``key``: by hash bucket, then by key.
 
+    Counts of buckets are summed up in runs of UPPER, and those of runs in turn,
+    so that no window holds all buckets of a large group.
+
     rows: about how many rows there are; a bucket holds about BUCKET_ROWS of them, or less. buckets: the least number of them.
     """
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(max(buckets, rows // BUCKET_ROWS + 1))))
-    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).withColumn("_run", F.floor(F.col("_bucket") / UPPER))
+    above = counts.groupBy(group, "_run").agg(F.sum("_n").alias("_n"))
+    runs = above.select(group, "_run", _before(Window.partitionBy(group).orderBy("_run")).alias("_above"))
+    in_run = counts.select(group, "_run", "_bucket", _before(Window.partitionBy(group, "_run").orderBy("_bucket")).alias("_below"))
+    offsets = in_run.join(runs, [group, "_run"]).select(group, "_bucket", (F.col("_above") + F.col("_below")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(key)) - 1
     return dealt.join(offsets, [group, "_bucket"]).withColumn(into, F.col("_before") + within).drop("_bucket", "_before")
 

@@ -376,6 +376,18 @@ def test_large_groups_stay_together(spark):
     assert sum(len(c) == 1 for c in pairs) >= 0.97 * len(pairs)
 
 
+@pytest.mark.parametrize(("upper", "size", "buckets"), [(1024, 20_000, 1), (2, 20, 1), (3, 50, 40)])
+def test_numbers_are_gapless(spark, monkeypatch, upper, size, buckets):
+    """With few and many buckets, in one run and in several."""
+    monkeypatch.setattr(sharding, "UPPER", upper)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", size)
+    df = spark.range(900).withColumn("g", F.when(F.col("id") < 600, 0).otherwise(F.col("id") % 7))
+    got = sharding.indexed(df, "g", "id", 900, "nth", buckets).collect()
+    for g, n in collections.Counter(r.g for r in got).items():
+        assert sorted(r.nth for r in got if r.g == g) == list(range(n))
+    assert len(got) == 900
+
+
 def test_pieces():
     assert sharding.pieces([6, 6, 6], [10, 10]) == [[(0, 6)], [(1, 6)], [(0, 4), (1, 2)]]
     assert sharding.pieces([25], [10, 10, 10]) == [[(0, 10), (1, 10), (2, 5)]]

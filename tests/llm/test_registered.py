@@ -11,7 +11,7 @@ import pytest
 from stratakv.llm import packing, pii, queries, toxicity
 from tests.llm.conftest import EDGES
 from tests.llm.test_corpus_operators import brute_katz, check_packing
-from tests.llm.test_text_operators import SECRETS, brute_private, brute_secrets, brute_statistics
+from tests.llm.test_text_operators import SECRETS, brute_private, brute_secrets, brute_statistics, brute_toxicity
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are absent")
@@ -99,6 +99,9 @@ def test_toxicity(spark, folder, rows):
     got = result(spark, folder, "op6_factorization_machine", "doc_id", "held_out", "score", "predicted")
     assert [(g[0], g[1]) for g in got] == sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in rows), key=repr)
     assert all(0 <= g[2] <= 1 and g[3] == (g[2] >= toxicity.THRESHOLD) for g in got)
+    model = toxicity.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    want = sorted(((i, brute_toxicity(model, t)) for i, t in rows), key=repr)
+    assert sorted(g[2] for g in got) == pytest.approx(sorted(w[1] for w in want), abs=1e-9)
 
 
 def test_scores(spark, folder, rows):

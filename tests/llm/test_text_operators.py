@@ -411,6 +411,28 @@ def test_machine_learns_a_pair(spark):
     assert ((score >= 0.5) == (np.array(labels[1200:]) == 1)).mean() > 0.97
 
 
+def brute_toxicity(model, text):
+    """The machine's formula, pair by pair."""
+    known = {int(h): i for i, h in enumerate(model.hashes)}
+    own = sorted({known[h] for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text or "") if (h := _blocks.hash_word(w)) in known})
+    pairs = sum(float(model.vectors[a] @ model.vectors[b]) for a, b in itertools.combinations(own, 2))
+    logit = model.bias + float(model.weights[own].sum()) + pairs
+    return 1 / (1 + np.exp(-model.scale * logit - model.shift))
+
+
+def test_machine_equals_brute_force(spark, edges):
+    rng = random.Random(5)
+    salad = [(100 + i, " ".join(rng.choices(["Wort", "wort", "größe", "GRÖẞE", "a-b", "c_d", "9", "insult", "group", "\u200b"], k=rng.randint(0, 30)))) for i in range(60)]
+    names = ["wort", "größe", "a", "b", "c", "9", "insult", "group", "one", "x" * 30000, "same", "text", "long"]
+    hashes = np.unique(np.array([_blocks.hash_word(w) for w in names], np.uint64))
+    draw = np.random.default_rng(5)
+    model = toxicity.Model(hashes, -0.3, draw.normal(0, 1, len(hashes)), draw.normal(0, 0.7, (len(hashes), 4)), 1.7, 0.4)
+    got = sorted(toxicity.score(documents(spark, [*EDGES, *salad]), model).select("text", "score").collect(), key=repr)
+    assert len(got) == len(EDGES) + len(salad)
+    assert all(r.score == pytest.approx(brute_toxicity(model, r.text)) for r in got)
+    assert len({round(r.score, 6) for r in got}) > 20  # texts of many kinds
+
+
 def test_toxicity_held_out(spark, edges, nothing):
     rng = random.Random(3)
     bad = ["idiot", "scum", "trash"]
