@@ -28,8 +28,8 @@ Nothing that grows with the corpus is held in one place:
    counts, are added up in ``SPREAD`` groups before they reach the driver.
 4. Sums meet by row.
 
-A word is known by a 64-bit hash, a history by 48 bits of it: among 10^8 words
-about 18 pairs share those, and a shared history's weight is that of both.
+A word is known by a 64-bit hash, as a history too: among 10^8 words two share
+one with a chance of 1 in 3,700, and then count as one word.
 
 Cases: a null or empty text is the end token alone; long texts are scored whole;
 a null id belongs to the training rows; without training rows every word is
@@ -62,7 +62,6 @@ FLUSH_TOKENS = 2_500_000
 _U = np.uint64
 #: Hashes of the end token and of the history of a first word; no word has them but by chance.
 END, BEGIN = _U(0x4E1F0D5C9B3A7711), _U(0x9A3C5E7711224466)
-_HISTORY = _U((1 << 48) - 1)
 
 
 def discounts(seen: dict[int, int]) -> np.ndarray:
@@ -262,7 +261,7 @@ def _emit_events(c: Counts, held_out: tuple[int, int]):
                 history[1:] = token[:-1]
                 history[np.concatenate(([0], after[:-1]))] = BEGIN
                 rows = piece.column(0).to_numpy().astype(np.uint64)
-                held.append((token, history & _HISTORY, rows[row], train[row]))
+                held.append((token, history, rows[row], train[row]))
                 ids = piece.column(1)
                 part = _row_part(rows, c.ranges)
                 yield _batch([_record("m", int(p), pack(rows[o], True), np.ascontiguousarray(ids.fill_null(0).to_numpy()[o]).tobytes(), pack(ids.is_null().to_numpy(zero_copy_only=False)[o]), pack(~train[o])) for p in np.unique(part) for o in [np.flatnonzero(part == p)]])
@@ -335,7 +334,7 @@ def _work_events(c: Counts):
         h, stats = _sums(history[first][seen], [pair_count[seen], *((pair_count[seen] == r).astype(np.int64) for r in range(1, K + 1)), c.probability(pair_total[seen])])
         back = ~seen[pair]
         pairs_back, times = np.unique(np.column_stack((history[back], row[back])), axis=0, return_counts=True)
-        hot_histories = np.unique(np.append(c.hot & _HISTORY, BEGIN & _HISTORY))
+        hot_histories = np.unique(np.append(c.hot, BEGIN))
         is_hot = _is_hot(h, hot_histories)
         # Common histories are in all ranges; their statistics are added up in SPREAD groups.
         part_h = np.where(is_hot, -1 - _range(h, SPREAD), _range(h, c.ranges))
