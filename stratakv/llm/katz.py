@@ -249,7 +249,8 @@ def _emit_events(c: Counts, held_out: tuple[int, int]):
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 o = order[cuts[p] : cuts[p + 1]]
                 first = row[o].min()
-                out.append(_record("e", p, pack(word[o], True), pack(history[o]), pack(row[o] - first), pack(np.array([first])), pack(train[o])))
+                each, which = np.unique(history[o], return_inverse=True)
+                out.append(_record("e", p, pack(word[o], True), pack(each, True), pack(which), pack(row[o] - first), pack(np.array([first])), pack(train[o])))
             return _batch(out)
 
         size = 0
@@ -294,9 +295,9 @@ def _work_events(c: Counts):
             return table_.select(_NAMES)
         got = table_.to_pylist()
         word = np.concatenate([unpack(r["c0"]) for r in got])
-        history = np.concatenate([unpack(r["c1"]) for r in got])
-        row = np.concatenate([unpack(r["c2"]) + unpack(r["c3"])[0] for r in got])
-        train = np.concatenate([unpack(r["c4"]) for r in got]).astype(np.int64)
+        history = np.concatenate([unpack(r["c1"])[unpack(r["c2"]).view(np.int64)] for r in got])
+        row = np.concatenate([unpack(r["c3"]) + unpack(r["c4"])[0] for r in got])
+        train = np.concatenate([unpack(r["c5"]) for r in got]).astype(np.int64)
         del got
         order = np.lexsort((history, word))
         word, history, row, train = word[order], history[order], row[order], train[order]
