@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import internal_order, is_tombstone
-from .policies import first_of
+from .policies import TIES, first_of
 
 
 def as_of(entries: DataFrame, snapshot: int) -> DataFrame:
@@ -20,12 +20,15 @@ def history(entries: DataFrame, user_key: bytes) -> DataFrame:
 
 
 def diff(entries: DataFrame, older: int, newer: int) -> DataFrame:
-    """(user_key, change, old_value, new_value) between two snapshots; change is added, removed or changed."""
-    old = as_of(entries, older).select("user_key", F.col("value").alias("old_value"), F.col("seq").alias("_old"))
-    new = as_of(entries, newer).select("user_key", F.col("value").alias("new_value"), F.col("seq").alias("_new"))
+    """(user_key, change, old_value, new_value) between two snapshots, in one aggregate; change is added, removed or changed."""
+    version = F.struct("value", "value_type", "seq")
+    newest = F.struct(-F.col("seq"), -F.col("value_type"), *(c for c in TIES if c in entries.columns))
+    seen = [F.min_by(version, F.when(F.col("seq") <= s, newest)) for s in (older, newer)]
+    both = entries.where(F.col("seq") <= max(older, newer)).groupBy("user_key").agg(seen[0].alias("_old"), seen[1].alias("_new"))
+    live = both.select("user_key", *(F.when(~is_tombstone(F.col(c)["value_type"]), F.col(c)).alias(c) for c in ("_old", "_new")))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
-    both = old.join(new, "user_key", "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
-    return both.select("user_key", change.alias("change"), "old_value", "new_value")
+    differ = live.where(~F.col("_old.seq").eqNullSafe(F.col("_new.seq")))
+    return differ.select("user_key", change.alias("change"), F.col("_old.value").alias("old_value"), F.col("_new.value").alias("new_value"))
 
 
 def version_stats(entries: DataFrame) -> DataFrame:

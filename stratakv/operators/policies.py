@@ -6,11 +6,11 @@ sequence fall to the higher type; ties of both to the columns named in ``ties``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +85,28 @@ class Where:
 class Stateful:
     """A policy that Python decides version by version, newest first: ``start`` makes an object with decide(seq, value_type, is_first).
 
-    One task holds all versions of a key; use a column policy where one can say it.
+    Versions stream through a task in order, a batch at a time, so memory does not
+    follow the versions of a key; use a column policy where one can say it.
     """
 
     start: Callable[[], object]
 
     def apply(self, entries: DataFrame) -> DataFrame:
-        ties = list(_ties(entries))
         start = self.start
 
-        def decide(versions: pd.DataFrame) -> pd.DataFrame:
-            ordered = versions.sort_values(["seq", "value_type", *ties], ascending=[False, False, *[True] * len(ties)], kind="stable")
-            state = start()
-            keep = [bool(state.decide(int(s), int(t), i == 0)) for i, (s, t) in enumerate(zip(ordered["seq"], ordered["value_type"], strict=True))]
-            return ordered[keep]
-
-        return entries.groupBy("user_key").applyInPandas(decide, entries.schema)
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, state = object(), None
+            for batch in batches:
+                keep = []
+                for k, seq, kind in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("user_key", "seq", "value_type")), strict=True):
+                    is_first = k != key
+                    if is_first:
+                        key, state = k, start()
+                    keep.append(bool(state.decide(seq, kind, is_first)))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        ordered = entries.repartition("user_key").sortWithinPartitions("user_key", *newest_first(_ties(entries)))
+        return ordered.mapInArrow(decide, entries.schema)
 
 
 def newest_by_aggregate(entries: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from .schema import type_name
 from .scratch import new_path
 from .sources.files import PendingFile, publish
 from .sources.workload import generate
+from .streaming.upsert import current, upsert
 
 LOW, MID, HIGH = 500, 5_000, 1_000_000_000
 
@@ -210,6 +211,16 @@ def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key.agg(F.count("*").alias("keys"), (F.max("versions") <= 3).alias("versions_bounded"), F.bool_and(F.col("versions") == F.col("newest")).alias("sequences_fall"), (F.max("deleted") <= 1).alias("newest_alone_deleted"), (F.max("source") < 5).alias("sources_bounded"))
 
 
+def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream in four batches, newer versions in earlier ones, kept up to date."""
+    folder, log = new_path(spark, "upsert"), new_path(spark, "log")
+    for i in range(4):
+        events(spark, sf_dir).where(F.col("source_id") == 3 - i).coalesce(1).write.mode("append").parquet(log)
+    changes = spark.readStream.schema(spark.read.parquet(log).schema).option("maxFilesPerTrigger", 1).parquet(log)
+    upsert(changes, f"{folder}/state", checkpoint=f"{folder}/checkpoint", buckets=8).start().awaitTermination()
+    return _entries(current(changes, f"{folder}/state"))
+
+
 def sst_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the files' properties, as statistics of the entries."""
     path = _written(spark, events(spark, sf_dir))
@@ -298,6 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sst_path_list": sst_path_list,
     "sst_ingest_stamps": sst_ingest_stamps,
     "generated_workload": generated_workload,
+    "streaming_upsert": streaming_upsert,
     "dump_lines": lambda s, d: compaction.dump(events(s, d)),
     "parse_dump_lines": lambda s, d: shown(compaction.dump(events(s, d)).select(parse_line(F.col("line")).alias("e")).select("e.user_key", "e.value")),
 }
@@ -375,6 +387,7 @@ ORACLE_SQL: dict[str, str] = {
     "sst_path_list": _over(EVENTS, f"SELECT {_COLUMNS} FROM entries"),
     "sst_ingest_stamps": "SELECT * FROM (VALUES ('rocksdb.external_sst_file.version', CAST(2 AS BIGINT)), ('rocksdb.external_sst_file.global_seqno', CAST(0 AS BIGINT))) t(name, number)",
     "generated_workload": "SELECT CAST(400 AS BIGINT) AS keys, true AS versions_bounded, true AS sequences_fall, true AS newest_alone_deleted, true AS sources_bounded",
+    "streaming_upsert": _over(EVENTS, _newest("user_key")),
     "sst_meta": "SELECT unnest(['rocksdb.index', 'rocksdb.properties']) AS name, true AS found",
     "dump_lines": _over(EVENTS, "SELECT user_key || ' ==> ' || value AS line FROM entries"),
     "parse_dump_lines": _over(EVENTS, "SELECT user_key, value FROM entries"),

@@ -97,6 +97,28 @@ def test_random_policies(spark, seed, ties):
     df.unpersist()
 
 
+def test_stateful_over_many_batches(spark):
+    """A key whose versions fill many Arrow batches."""
+    rows = [(b"hot", s, 1, b"", 0) for s in range(1, 2001)] + [(b"k%03d" % i, 1, 1, b"", 0) for i in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = listed(policies.Stateful(lambda: AtSnapshot(700)).apply(frame(spark, rows)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(snapshot(rows, 700))
+
+
+def test_diff_equals_two_reads(spark):
+    rows = workload(random.Random(7), 12, 150, True)
+    df = frame(spark, rows).cache()
+    for older, newer in ((0, 3), (2, 9), (5, 5), (9, 2)):
+        old, new = ({r[0]: r for r in listed(history.as_of(df, s))} for s in (older, newer))
+        want = sorted((k, old.get(k, (None,) * 4)[3], new.get(k, (None,) * 4)[3]) for k in old.keys() | new.keys() if old.get(k, (None, None))[1] != new.get(k, (None, None))[1])
+        got = [(bytes(r.user_key), r.old_value and bytes(r.old_value), r.new_value and bytes(r.new_value)) for r in history.diff(df, older, newer).collect()]
+        assert sorted(got, key=str) == sorted(((k, o and bytes(o), n and bytes(n)) for k, o, n in want), key=str)
+    df.unpersist()
+
+
 def test_many_snapshots(spark):
     rows = [(b"a", s, 1, b"", 0) for s in range(1, 10)]
     assert [r[1] for r in listed(compact(frame(spark, rows), policies.Snapshots((3, 6))))] == [9, 6, 3]
