@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ from ..functions.keys import internal_order
 from ..operators.merge import in_order, merge, shard_boundaries, with_shard
 from ..operators.policies import Bottommost, Passthrough, Policy, Snapshots, SnapshotAware
 from ..sources.codec.errors import SstError
+from ..sources.files import expand, remove_folder
 from ..sources.sst import register
 
+#: Of entries to be written, as Spark estimates them: so many bytes are a range that one task sorts.
+RANGE_BYTES = 8 << 20
+
 
 def read_sst(spark: SparkSession, *paths: str, **options: object) -> DataFrame:
     """Entries (or another view) of table files and folders; source_id is the file's place."""
@@ -47,15 +52,46 @@ def by_ranges(entries: DataFrame, parts: int | None = None) -> DataFrame:
     return entries.repartitionByRange(*([parts] if parts else []), "user_key").sortWithinPartitions(*internal_order())
 
 
-def write_sst(entries: DataFrame, path: str, files: int | None = None, mode: str = "overwrite", **options: object) -> None:
+def _ranges(entries: DataFrame, files: int, size: int | None) -> int:
+    """Into how many ranges entries for ``files`` files are sorted: as their bytes ask for, or Spark's shuffle partitions at most."""
+    if size is None:
+        size = int(str(entries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(files, min(-(-size // RANGE_BYTES), int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _shared_out(tables: list[tuple[str, int]], files: int) -> list[list[str]]:
+    """Neighbouring tables together, ``files`` groups of about equal bytes at most."""
+    groups: dict[int, list[str]] = {}
+    before, total = 0, sum(size for _, size in tables)
+    for path, size in tables:
+        groups.setdefault((2 * before + size) * files // (2 * total), []).append(path)
+        before += size
+    return list(groups.values())
+
+
+def write_sst(entries: DataFrame, path: str, files: int | None = None, mode: str = "overwrite", size: int | None = None, **options: object) -> None:
     """Writes entries as ``files`` table files at most, with disjoint key ranges; without a number, files follow the bytes.
 
-    forIngest=True sets every sequence to 0; entries must then have one version
+    A task sorts a range of moderate size, however few the files: many ranges
+    are written as tables of their own, in a hidden folder of ``path``, and a task a
+    file copies their blocks. size: about how many bytes there are, if known better
+    than by Spark. forIngest=True sets every sequence to 0; entries must then have one version
     of a key, which the writer checks.
     """
     register(entries.sparkSession)
     columns = entries.select("user_key", F.col("seq").cast("long"), F.col("value_type").cast("int"), "value")
-    by_ranges(columns, files).write.format("sst").options(**options).mode(mode).save(path)
+    ranges = _ranges(columns, files, size) if files else None
+    if ranges == files:
+        by_ranges(columns, files).write.format("sst").options(**options).mode(mode).save(path)
+        return
+    folder = f"{path.rstrip('/')}/.ranges-{uuid.uuid4().hex}"
+    try:
+        by_ranges(columns, ranges).write.format("sst").options(**(options | {"contextChecksum": 0})).mode("overwrite").save(folder)
+        tables = sorted(expand([folder]), key=lambda t: (len(t[0]), t[0]))
+        groups = entries.sparkSession.sparkContext.parallelize([(g,) for g in _shared_out(tables, files)], files)
+        entries.sparkSession.createDataFrame(groups, "tables array<string>").write.format("sst").options(**options).mode(mode).save(path)
+    finally:
+        remove_folder(folder)
 
 
 def compact_files(spark: SparkSession, inputs: Sequence[str], output: str, for_ingest: bool = False, policy: Policy = Bottommost(), files: int | None = None, **options: object) -> None:
@@ -64,7 +100,7 @@ def compact_files(spark: SparkSession, inputs: Sequence[str], output: str, for_i
         raise SstError("a file to be ingested has one version of a key; this policy keeps more")
     kept = compact(read_sst(spark, *inputs), policy, ordered=False)
     stamps = {"forIngest": True, "globalSeqno": 0} if for_ingest else {}
-    write_sst(kept, output, files, **({"contextChecksum": 0x42424242} | stamps | options))
+    write_sst(kept, output, files, size=sum(size for _, size in expand(inputs)) if files else None, **({"contextChecksum": 0x42424242} | stamps | options))
 
 
 def dump(entries: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def _is_table(name: str) -> bool:
 
 
 def expand(paths: list[str]) -> list[tuple[str, int]]:
-    """(path, size) of the files meant: files, folders and local patterns; hidden files are left out."""
+    """(path, size) of the files meant: files, folders and local patterns; hidden files and folders are left out."""
     import glob
 
     out: list[tuple[str, int]] = []
@@ -33,7 +33,7 @@ def expand(paths: list[str]) -> list[tuple[str, int]]:
         info = system.get_file_info(at)
         if info.type == fs.FileType.Directory:
             found = system.get_file_info(fs.FileSelector(at, recursive=True))
-            out += sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and _is_table(f.base_name))
+            out += sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and all(map(_is_table, f.path[len(at) :].strip("/").split("/"))))
         elif info.type == fs.FileType.File:
             out.append((prefix + at, info.size))
         elif isinstance(system, fs.LocalFileSystem) and (matched := sorted(glob.glob(at))):
@@ -96,6 +96,13 @@ def tables_in(folder: str) -> list[tuple[fs.FileSystem, str]]:
     return [(system, f.path) for f in system.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File and _is_table(f.base_name)]
 
 
+def remove_folder(folder: str) -> None:
+    """Removes a folder and all that it holds, if it is there."""
+    system, at = _at(folder)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)
+
+
 def remove(files: list[tuple[fs.FileSystem, str]]) -> None:
     for system, path in files:
         system.delete_file(path)

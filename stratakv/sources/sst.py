@@ -11,8 +11,9 @@ read by several tasks, each a range of bytes; only they read the index), ``userK
 Filters on user_key prune blocks by the index; Spark applies them again itself.
 
 Writing: each partition becomes one file; rows must come in order, which
-``write_sst`` in ``plans`` sees to and the writer checks.  Files have temporary
-names until the job commits.
+``write_sst`` in ``plans`` sees to and the writer checks.  Rows of one column
+``tables``, lists of paths, make a file of the tables that they name, in that
+order.  Files have temporary names until the job commits.
 """
 
 from __future__ import annotations
@@ -234,10 +235,11 @@ class SstWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, schema: T.StructType, options: dict, overwrite: bool) -> None:
-        missing = [n for n in ("user_key", "seq", "value_type", "value") if n not in schema.names]
+        self.joins = schema.names == ["tables"]
+        missing = [] if self.joins else [n for n in ("user_key", "seq", "value_type", "value") if n not in schema.names]
         if missing:
             raise SstError(f"columns {missing} are missing")
-        self.places = [schema.names.index(n) for n in ("user_key", "seq", "value_type", "value")]
+        self.places = [] if self.joins else [schema.names.index(n) for n in ("user_key", "seq", "value_type", "value")]
         self.folder, self.overwrite, self.o = options["path"], overwrite, write_options(options)
         self.job = uuid.uuid4().hex[:12]
 
@@ -249,6 +251,9 @@ class SstWriter(DataSourceArrowWriter):
         try:
             writer = TableWriter(file.write, self.o)
             for batch in batches:
+                for path in (p for tables in batch.column(0).to_pylist() for p in tables) if self.joins else ():
+                    with opened(path) as (read_at, size):
+                        writer.append(TableReader(read_at, size, path))
                 for row in zip(*(batch.column(p).to_pylist() for p in self.places), strict=True):
                     if None in row:
                         raise SstFormatError(f"null in entry {row!r}")

@@ -211,3 +211,23 @@ def test_a_later_feature_is_refused():
     plain = footer.encode(7, Checksum.NONE, block.Handle(0, 5), 0, 10)
     with pytest.raises(SstUnsupportedError):
         footer.decode(plain[:33] + b"\1" + plain[34:], 63)
+
+
+@pytest.mark.parametrize("kind", list(Checksum))
+@pytest.mark.parametrize("packed", [0, 7])
+def test_tables_joined(kind, packed):
+    rows = [(b"k%05d" % (i // 3), 5 - i % 3, 1, b"v" * (i % 90)) for i in range(3000)]
+    tables = [table.write_table(r, table.WriteOptions(kind, base=0, compression=packed)) for r in (rows[:1000], [], rows[1000:1001], rows[1001:])]
+    out = bytearray()
+    writer = table.TableWriter(out.extend, table.WriteOptions(kind, base=0x42424242, compression=packed))
+    for data in tables:
+        writer.append(table.reader_of(data))
+    with pytest.raises(SstFormatError, match="does not follow"):
+        writer.append(table.reader_of(tables[0]))
+    writer.add(b"l", 1, 1, b"last")
+    writer.finish()
+    joined = table.reader_of(bytes(out))
+    assert [e[:4] for e in joined.entries()] == [*rows, (b"l", 1, 1, b"last")]
+    assert table.decode_property("rocksdb.num.entries", joined.properties()["rocksdb.num.entries"]) == 3001
+    handles = [h for _, h in joined.index()]
+    assert handles[0].offset == 0 and all(a.end == b.offset for a, b in zip(handles, handles[1:]))

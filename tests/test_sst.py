@@ -8,7 +8,7 @@ from stratakv import cli
 from stratakv.operators import merge, policies
 from stratakv.plans.compaction import compact_files, dump, read_sst, write_sst
 from stratakv.sources.codec.errors import SstError
-from stratakv.sources.codec.table import TableReader, WriteOptions, write_table
+from stratakv.sources.codec.table import TableReader, WriteOptions, reader_of, write_table
 from stratakv.sources.sst import decode_files
 from tests.test_policies import bottommost, frame, listed, workload
 
@@ -70,6 +70,31 @@ def test_files_follow_the_bytes(spark, tmp_path):
     assert read_sst(spark, path).count() == 2000
 
 
+@pytest.mark.parametrize(("files", "kind"), [(1, "XXH3"), (2, "CRC32C"), (2, "NONE")])
+def test_files_joined_of_ranges(spark, tmp_path, files, kind):
+    """The frame's size is unknown, so there are as many ranges as shuffle partitions (4); a key's versions share a file."""
+    path = str(tmp_path / "t")
+    rows = [(b"k%03d" % (i // 9), 9 - i % 9, 1, b"v" * (i % 300), 0) for i in range(3000)]
+    for mode in ("overwrite", "overwrite", "append"):
+        write_sst(frame(spark, random.Random(1).sample(rows, 3000)), path, files, mode, checksumType=kind, contextChecksum=0x42, compression="zstd")
+    names = sorted(os.listdir(path))
+    assert len(names) == 2 * files and all(n.endswith(".sst") for n in names)
+    assert sorted(listed(read_sst(spark, path))) == sorted([r[:4] for r in rows] * 2)
+    for name in names:
+        with open(f"{path}/{name}", "rb") as f:
+            entries = [e[:4] for e in reader_of(f.read()).entries()]
+        assert entries == sorted(entries, key=lambda e: (e[0], -e[1])) and {e[0] for e in entries}.isdisjoint(k for k, *_ in set(r[:4] for r in rows) - set(entries))
+        named = {r.name: r.number for r in read_sst(spark, f"{path}/{name}", view="properties").collect()}
+        assert (named["rocksdb.num.entries"], named["rocksdb.raw.value.size"]) == (len(entries), sum(len(e[3]) for e in entries))
+
+
+def test_hidden_folders_are_no_input(spark, tmp_path):
+    (tmp_path / ".ranges-1").mkdir()
+    save(tmp_path / ".ranges-1" / "a.sst", [(b"a", 1, 1, b"x", 0)])
+    save(tmp_path / "b.sst", [(b"b", 1, 1, b"y", 0)])
+    assert listed(read_sst(spark, str(tmp_path))) == [(b"b", 1, 1, b"y")]
+
+
 def test_few_reads():
     data = write_table([(b"k%06d" % i, 1, 1, b"v" * 100) for i in range(20000)])
     asked = []
