@@ -47,6 +47,13 @@ def test_one_file_is_sorted_by_several_tasks(spark, duck, sorted_ranges):
     assert [tuple(r) for r in got] == duck.sql(queries.ORACLE_SQL["sst_blocks"]).fetchall()
 
 
+def test_the_file_of_meta_blocks_is_sorted_by_several_tasks(spark, duck, sorted_ranges):
+    """sst_meta: a file joined of ranges has one index and one block of properties."""
+    got = queries.QUERIES["sst_meta"](spark, DIR).collect()
+    assert sorted_ranges and min(sorted_ranges) > 1
+    assert sorted(tuple(r) for r in got) == sorted(duck.sql(queries.ORACLE_SQL["sst_meta"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(entry.queries()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
