@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys
@@ -159,7 +159,9 @@ def sst_pushdown_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sst_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of one file: whether blocks follow each other without a gap from its first byte, and add up to what the properties say; the last separator."""
     path = _written(spark, events(spark, sf_dir), 1)
-    blocks = compaction.read_sst(spark, path, view="blocks").withColumn("before", F.lag(F.col("offset") + F.col("size") + 5, 1, 0).over(Window.partitionBy("file_path").orderBy("block_no")))
+    blocks = compaction.read_sst(spark, path, view="blocks")
+    ends = blocks.select("file_path", (F.col("block_no") + 1).alias("block_no"), (F.col("offset") + F.col("size") + 5).alias("before"))
+    blocks = blocks.join(ends, ["file_path", "block_no"], "left").withColumn("before", F.coalesce("before", F.lit(0)))  # a window would put a file's blocks into one task
     data = compaction.read_sst(spark, path, view="properties").where("name = 'rocksdb.data.size'").select("file_path", F.col("number").cast("long").alias("data_size"))
     whole = blocks.groupBy("file_path").agg((F.count("*") > 1).alias("several"), F.bool_and(F.col("before") == F.col("offset")).alias("gapless"), F.sum(F.col("size") + 5).alias("bytes"), F.max_by(F.struct("last_user_key", "last_seq", "last_type"), "block_no").alias("last"))
     return shown(whole.join(data, "file_path").select("several", "gapless", (F.col("bytes") == F.col("data_size")).alias("adds_up"), "last.last_user_key", "last.last_seq", "last.last_type"))

@@ -47,6 +47,10 @@ def test_one_file_is_sorted_by_several_tasks(spark, duck, sorted_ranges):
     assert [tuple(r) for r in got] == duck.sql(queries.ORACLE_SQL["sst_blocks"]).fetchall()
 
 
+def test_blocks_of_a_file_are_not_put_in_order_by_one_task(spark):
+    assert "Window" not in queries.QUERIES["sst_blocks"](spark, DIR)._jdf.queryExecution().toString()
+
+
 def test_the_file_of_meta_blocks_is_sorted_by_several_tasks(spark, duck, sorted_ranges):
     """sst_meta: a file joined of ranges has one index and one block of properties."""
     got = queries.QUERIES["sst_meta"](spark, DIR).collect()
