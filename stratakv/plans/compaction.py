@@ -41,17 +41,22 @@ def compact_sharded(entries: DataFrame, shards: int, policy: Policy = Bottommost
     """
     kept = policy.apply(entries)
     if not exact:
-        return by_ranges(kept, max(1, shards))
+        return by_keys(kept, max(1, shards))
     bounds = [bytes(r.user_key) for r in shard_boundaries(entries, shards).orderBy("boundary_no").collect()] if shards > 1 else []
     sharded = with_shard(kept, bounds)
     return sharded.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", *internal_order())
 
 
-def by_ranges(entries: DataFrame, parts: int | None = None) -> DataFrame:
+def by_keys(entries: DataFrame, parts: int | None = None) -> DataFrame:
     """Partitions are disjoint, rising ranges of user keys, each in internal order; as many as Spark makes of the bytes if ``parts`` is None."""
     return entries.repartitionByRange(*([parts] if parts else []), "user_key").sortWithinPartitions(*internal_order())
 
 
+def by_ranges(entries: DataFrame, parts: int) -> DataFrame:
+    """Partitions are rising ranges in internal order; a key's versions may go on in the next one, so many versions of one key are sorted by several tasks."""
+    return entries.repartitionByRange(parts, "user_key", F.col("seq").desc()).sortWithinPartitions(*internal_order())
+
+
 def _ranges(entries: DataFrame, files: int, size: int | None) -> int:
     """Into how many ranges entries for ``files`` files are sorted: as their bytes ask for, or Spark's shuffle partitions at most."""
     if size is None:
@@ -74,7 +79,8 @@ def write_sst(entries: DataFrame, path: str, files: int | None = None, mode: str
 
     A task sorts a range of moderate size, however few the files: many ranges
     are written as tables of their own, in a hidden folder of ``path``, and a task a
-    file copies their blocks. size: about how many bytes there are, if known better
+    file copies their blocks. Ranges of one file may cut a key's versions; else a task
+    sorts all versions of a key. size: about how many bytes there are, if known better
     than by Spark. forIngest=True sets every sequence to 0; entries must then have one version
     of a key, which the writer checks.
     """
@@ -82,11 +88,12 @@ def write_sst(entries: DataFrame, path: str, files: int | None = None, mode: str
     columns = entries.select("user_key", F.col("seq").cast("long"), F.col("value_type").cast("int"), "value")
     ranges = _ranges(columns, files, size) if files else None
     if ranges == files:
-        by_ranges(columns, files).write.format("sst").options(**options).mode(mode).save(path)
+        by_keys(columns, files).write.format("sst").options(**options).mode(mode).save(path)
         return
     folder = f"{path.rstrip('/')}/.ranges-{uuid.uuid4().hex}"
     try:
-        by_ranges(columns, ranges).write.format("sst").options(**(options | {"contextChecksum": 0})).mode("overwrite").save(folder)
+        sorted_ranges = by_ranges(columns, ranges) if files == 1 else by_keys(columns, ranges)  # between two files no key may be cut
+        sorted_ranges.write.format("sst").options(**(options | {"contextChecksum": 0})).mode("overwrite").save(folder)
         tables = sorted(expand([folder]), key=lambda t: (len(t[0]), t[0]))
         groups = entries.sparkSession.sparkContext.parallelize([(g,) for g in _shared_out(tables, files)], files)
         entries.sparkSession.createDataFrame(groups, "tables array<string>").write.format("sst").options(**options).mode(mode).save(path)

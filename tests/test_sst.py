@@ -3,9 +3,11 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from stratakv import cli
 from stratakv.operators import merge, policies
+from stratakv.plans import compaction
 from stratakv.plans.compaction import compact_files, dump, read_sst, write_sst
 from stratakv.sources.codec.errors import SstError
 from stratakv.sources.codec.table import TableReader, WriteOptions, reader_of, write_table
@@ -88,6 +90,35 @@ def test_files_joined_of_ranges(spark, tmp_path, files, kind):
         assert (named["rocksdb.num.entries"], named["rocksdb.raw.value.size"]) == (len(entries), sum(len(e[3]) for e in entries))
 
 
+@pytest.mark.parametrize("often", [200, 2500, 3000])
+def test_versions_of_one_key_are_sorted_by_several_tasks(spark, tmp_path, monkeypatch, often):
+    """sst_meta writes so: no range of its one file holds most entries where one key has most of them."""
+    largest, by_ranges = [], compaction.by_ranges
+
+    def counted(entries, parts=None):
+        ranges = by_ranges(entries, parts)
+        largest.append(max(r["count"] for r in ranges.groupBy(F.spark_partition_id()).count().collect()))
+        return ranges
+
+    monkeypatch.setattr(compaction, "by_ranges", counted)
+    path = str(tmp_path / "t")
+    rows = [(b"k5", 9000 - i, i % 2, b"v" * (i % 50), 0) for i in range(often)] + [(b"k%d" % (i % 10), i + 1, 1, b"w", 0) for i in range(3000 - often)]
+    write_sst(frame(spark, random.Random(2).sample(rows, 3000)), path, 1)
+    assert len(largest) == 1 and largest[0] < 1500
+    (name,) = os.listdir(path)
+    with open(f"{path}/{name}", "rb") as f:
+        assert [e[:4] for e in reader_of(f.read()).entries()] == sorted((r[:4] for r in rows), key=lambda e: (e[0], -e[1]))
+
+
+def test_repeated_entries_of_one_file_are_an_error(spark, tmp_path):
+    """Also where ranges cut the versions of a key."""
+    rows = [(b"k", 1 + i, 1, b"v", 0) for i in range(2000)]
+    for more, options in (([(b"k", 1000, 1, b"w", 0)], {}), ([], {"forIngest": True})):
+        with pytest.raises(PySparkException, match="does not follow"):
+            write_sst(frame(spark, rows + more), str(tmp_path / "t"), 1, **options)
+    assert not os.path.exists(tmp_path / "t") or os.listdir(tmp_path / "t") == []
+
+
 def test_hidden_folders_are_no_input(spark, tmp_path):
     (tmp_path / ".ranges-1").mkdir()
     save(tmp_path / ".ranges-1" / "a.sst", [(b"a", 1, 1, b"x", 0)])
